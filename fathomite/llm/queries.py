@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_anchor
+from . import media_chunks, simhash_anchor
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,12 @@ def op1_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchor.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_columns(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
+    "op6_media_chunks": op6_media_chunks,
 }
 ORACLE_SQL: dict[str, str] = {}
