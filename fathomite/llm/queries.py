@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_chunks, simhash_anchor
+from . import bpe_bitmap, media_chunks, simhash_anchor
+
+
+#: Rank file of the public vocabulary that texts are encoded by.
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +26,13 @@ def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_bitmap.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
     "op6_media_chunks": op6_media_chunks,
+    "op9_bpe_bitmap": op9_bpe_bitmap,
 }
 ORACLE_SQL: dict[str, str] = {}
