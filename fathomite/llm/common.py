@@ -33,18 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", bucket_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
+    With ``bucket_by`` it is bucketed by that column into as many buckets as a shuffle has partitions, so that joins
+    on the column read it where it lies.
+
     This cuts lineage: a lost executor costs a re-read, not a re-run of the plan. The shuffle files
     of the write are released when it ends, so that they do not add up with those of later steps.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fathomite-{tag}-{uuid.uuid4().hex}"
+    name = f"fathomite_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     before = spark.conf.get(_FILE_CLEANUP, "false")
     spark.conf.set(_FILE_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        write = df.write.option("compression", codec)
+        if bucket_by is None:
+            write.parquet(path)
+        else:
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            write.bucketBy(buckets, bucket_by).option("path", path).format("parquet").saveAsTable(name)
+            return spark.table(name)
     finally:
         spark.conf.set(_FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,10 +5,12 @@ samples. The file is cut where a rolling gear hash of the last 32 bytes has its
 largest chunk size, so equal passages give equal chunks wherever they stand. Chunks are named by SHA-256.
 
 What is stored: a manifest (one row per document: sizes, the media's digest), the ordered chunk list of each distinct
-media file, and each distinct chunk once. Duplicated chunks are dropped by a grouping on the digest that is combined
-before the shuffle; chunk bytes are compressed before they move. Reading back joins the lists with the chunks by
-digest, gathers each media file's chunks (never more than one file in a group), checks every digest and the whole
-file's, and only then computes features. Equal media are rebuilt once, however many documents share them.
+media file, and each distinct chunk once, in a table bucketed by digest. Duplicated chunks are dropped by a grouping on
+the digest that is combined before the shuffle; chunk bytes are compressed, with a dictionary of fixed size, before
+they move. Reading back joins the lists with the bucketed chunks by digest, so stored bytes are not shuffled for the
+join, gathers each media file's chunks (never more than one file in a group), checks every digest and the whole file's,
+and only then computes features. Equal media are rebuilt once, however many documents share them. Chunks with more than
+``HOT_REFS`` references are joined apart, copied to ``SALTS`` keys, so that no task gets all references of one chunk.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, materialize
+from .common import bounded_sample, map_rows, materialize
 
 ROW = 192
 RATE = 8000
 LEAST, MEAN_BITS, MOST = 1024, 12, 16384
+#: The compression dictionary: its size, and the texts at most that it is trained on (lossless with any dictionary).
+DICTIONARY_BYTES, DICTIONARY_TEXTS = 112_640, 3000
+LEVEL = 15
+HOT_REFS, SALTS = 20_000, 64
 
 
 @cache
@@ -92,7 +98,10 @@ def feature_of(samples: bytes) -> str:
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media_sha256, media_bytes, chunks): one row per document, with the ordered chunk digests."""
+    """(id, n_bytes, media, media_bytes, chunks): one row per document, with the ordered chunk digests.
+
+    media is the SHA-256 of the file, as bytes.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, names, lengths, lists = [], [], [], []
@@ -100,23 +109,40 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             n, payload = payload_of(text.as_py())
             wav = wav_of(payload)
             sizes.append(n)
-            names.append(hashlib.sha256(wav).hexdigest())
+            names.append(hashlib.sha256(wav).digest())
             lengths.append(len(wav))
             lists.append([hashlib.sha256(c).digest() for c in cut(wav)])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names), pa.array(lengths, pa.int64()), pa.array(lists, pa.list_(pa.binary()))],
-            names=[id_col, "n_bytes", "media_sha256", "media_bytes", "chunks"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(lengths, pa.int64()), pa.array(lists, pa.list_(pa.binary()))],
+            names=[id_col, "n_bytes", "media", "media_bytes", "chunks"],
         )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, n_bytes bigint, media_sha256 string, media_bytes bigint, chunks array<binary>", run)
+    return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, n_bytes bigint, media binary, media_bytes bigint, chunks array<binary>", run)
+
+
+def train_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """A zstandard dictionary from a bounded sample of the texts' chunks; empty where there is too little text."""
+    rows = bounded_sample(docs.select(F.substring(text_col, 1, MOST).alias("t")), F.col("t"), DICTIONARY_TEXTS).limit(2 * DICTIONARY_TEXTS).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r.t.encode() for r in rows if r.t]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+@cache
+def _coder(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if d:
+        d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=d)
 
 
-def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, packed): every distinct chunk of the media of ``docs`` once, zstandard-compressed."""
+def chunk_store(docs: DataFrame, text_col: str = "text", dictionary: bytes = b"") -> DataFrame:
+    """(digest, packed): every distinct chunk of the media of ``docs`` once, compressed."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=6, write_checksum=False)
+        pack = _coder(dictionary)[0]
         own: dict[bytes, bytes] = {}
         for text in batch.column(0):
             for chunk in cut(wav_of(payload_of(text.as_py())[1])):
@@ -128,56 +154,65 @@ def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_rows(docs, [text_col], "digest binary, packed binary", run).groupBy("digest").agg(F.first("packed").alias("packed"))
 
 
-def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """(media_sha256, media) for each row (media_sha256, chunks) of ``lists``, from the stored chunks.
+def rebuild(lists: DataFrame, store: DataFrame, dictionary: bytes = b"", hot_refs: int = HOT_REFS) -> DataFrame:
+    """(media, file) for each row (media, chunks) of ``lists``, from the stored chunks.
 
     A chunk that is missing or does not have its digest, or a file that does not have its name, ends the job.
     """
-    wanted = lists.select("media_sha256", F.posexplode("chunks").alias("pos", "digest"))
-    parts = wanted.join(store, "digest", "left").groupBy("media_sha256").agg(F.collect_list(F.struct("pos", "digest", "packed")).alias("parts"))
+    refs = lists.select("media", F.posexplode("chunks").alias("pos", "digest"))
+    hot = materialize(refs.groupBy("digest").count().filter(F.col("count") > hot_refs).select("digest"), "hot")
+    if hot.limit(1).count():
+        salted = refs.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("media", "pos"), F.lit(SALTS)).cast("int"))
+        copies = store.join(hot, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = refs.join(hot, "digest", "left_anti").join(store, "digest", "left")
+        found = found.unionByName(salted.join(copies, ["digest", "salt"], "left").drop("salt"))
+    else:
+        found = refs.join(store, "digest", "left")
+    parts = found.groupBy("media").agg(F.collect_list(F.struct("pos", "digest", "packed")).alias("parts"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = _coder(dictionary)[1]
         files = []
         for name, found in zip(batch.column(0), batch.column(1), strict=True):
             pieces = []
             for part in sorted(found.as_py(), key=lambda p: p["pos"]):
                 if part["packed"] is None:
                     raise ValueError(f"chunk {part['digest'].hex()} is not in the store")
-                piece = unpack.decompress(part["packed"])
+                piece = unpack.decompress(part["packed"], max_output_size=MOST)
                 if hashlib.sha256(piece).digest() != part["digest"]:
                     raise ValueError(f"chunk {part['digest'].hex()} is damaged")
                 pieces.append(piece)
             files.append(b"".join(pieces))
-            if hashlib.sha256(files[-1]).hexdigest() != name.as_py():
-                raise ValueError(f"media {name.as_py()} is damaged")
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["media_sha256", "media"])
+            if hashlib.sha256(files[-1]).digest() != name.as_py():
+                raise ValueError(f"media {name.as_py().hex()} is damaged")
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["media", "file"])
 
-    return map_rows(parts, ["media_sha256", "parts"], "media_sha256 string, media binary", run)
+    return map_rows(parts, ["media", "parts"], "media binary, file binary", run)
 
 
 def features(media: DataFrame) -> DataFrame:
-    """(media_sha256, payload_bytes, payload_sha256, tail_crc32, feature) from media files that were read back."""
+    """(media, payload_bytes, payload_sha256, tail_crc32, feature) from media files that were read back."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [samples_of(m.as_py()) for m in batch.column(1)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(len, made), pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in made]), pa.array([zlib.crc32(s[-16:]) for s in made], pa.int64()), pa.array(map(feature_of, made))],
-            names=["media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"],
+            [batch.column(0), pa.array(map(len, made), pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in made], pa.string()), pa.array([zlib.crc32(s[-16:]) for s in made], pa.int64()), pa.array(map(feature_of, made), pa.string())],
+            names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "feature"],
         )
 
-    return map_rows(media, ["media_sha256", "media"], "media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string", run)
+    return map_rows(media, ["media", "file"], "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string", run)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_refs: int = HOT_REFS) -> DataFrame:
     """Store every text as chunked media, read all of it back, and return a row of digests and features per document.
 
     Null text counts as empty; an empty text has one row of spaces as payload. Null ids and repeated rows are kept
     as they come; other columns are ignored; an empty table gives an empty result.
     """
+    dictionary = train_dictionary(docs, text_col)
     listed = materialize(manifest(docs, id_col, text_col), "manifest")
-    store = materialize(chunk_store(docs, text_col), "chunks", codec="uncompressed")
-    lists = listed.groupBy("media_sha256").agg(F.first("chunks").alias("chunks"))
-    made = materialize(features(rebuild(lists, store)), "features")
-    own = listed.drop("chunks")
-    return own.join(made, "media_sha256", "left").select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    store = materialize(chunk_store(docs, text_col, dictionary), "chunks", codec="uncompressed", bucket_by="digest")
+    lists = listed.groupBy("media").agg(F.first("chunks").alias("chunks"))
+    made = materialize(features(rebuild(lists, store, dictionary, hot_refs)), "features")
+    own = listed.drop("chunks").join(made, "media", "left").withColumn("media_sha256", F.lower(F.hex("media")))
+    return own.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -47,9 +47,11 @@ def test_wav_is_readable_by_the_standard_library():
 def test_tables(spark):
     rng = random.Random(3)
     long = " ".join(rng.choices("the cat sat on a mat".split(), k=30_000))
+    assert op._coder(op.train_dictionary(spark.createDataFrame([(long[i : i + 2000],) for i in range(500)], "text string")))
     texts = [None, "", "x", "é" * 96, "a" * 193, long, long, "y " + long]
     docs = spark.createDataFrame([(i if i != 2 else None, t, "z") for i, t in enumerate(texts)] + [(1, "", "z")], "doc_id long, text string, packed string")
     got = op.media_columns(docs).collect()
+    assert sorted(map(str, op.media_columns(docs, hot_refs=1).collect())) == sorted(map(str, got))
     assert len(got) == 9
     for r in got:
         text = texts[r.doc_id if r.doc_id is not None else 2] or ""
@@ -66,7 +68,7 @@ def test_tables(spark):
 
 def test_damage_is_found(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
-    lists, store = op.manifest(docs).select("media_sha256", "chunks"), op.chunk_store(docs)
+    lists, store = op.manifest(docs).select("media", "chunks"), op.chunk_store(docs)
     with pytest.raises(Exception, match="not in the store"):
         op.rebuild(lists, store.limit(0)).collect()
     other = op.chunk_store(spark.createDataFrame([("other",)], "text string")).select("packed")
