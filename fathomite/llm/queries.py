@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_bitmap, media_chunks, simhash_anchor
+from . import bpe_bitmap, media_chunks, mixing, quality_rules, simhash_anchor
 
 
 #: Rank file of the public vocabulary that texts are encoded by.
@@ -22,17 +22,31 @@ def op1_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchor.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.withColumn("failed", F.array_join("failed", ",")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_bitmap.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
+    "op4_quality_rules": op4_quality_rules,
     "op6_media_chunks": op6_media_chunks,
+    "op8_mixing": op8_mixing,
     "op9_bpe_bitmap": op9_bpe_bitmap,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.oracle_sql(),
+    "op8_mixing": mixing.oracle_sql(),
+}
