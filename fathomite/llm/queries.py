@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_bitmap, media_chunks, mixing, quality_rules, simhash_anchor
+from . import bpe_bitmap, media_chunks, mixing, quality_rules, simhash_anchor, url_rules
 
 
 #: Rank file of the public vocabulary that texts are encoded by.
@@ -31,6 +31,10 @@ def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -43,10 +47,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
     "op4_quality_rules": op4_quality_rules,
     "op6_media_chunks": op6_media_chunks,
+    "op7_url_rules": op7_url_rules,
     "op8_mixing": op8_mixing,
     "op9_bpe_bitmap": op9_bpe_bitmap,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.oracle_sql(),
+    "op7_url_rules": url_rules.oracle_sql(),
     "op8_mixing": mixing.oracle_sql(),
 }
