@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_bitmap, media_chunks, mixing, quality_rules, simhash_anchor, url_rules
+from . import bpe_bitmap, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, url_rules
 
 
 #: Rank file of the public vocabulary that texts are encoded by.
@@ -22,6 +22,10 @@ def op1_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchor.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ftrl.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.withColumn("failed", F.array_join("failed", ",")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -45,6 +49,7 @@ def op9_bpe_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
+    "op2_quality_ftrl": op2_quality_ftrl,
     "op4_quality_rules": op4_quality_rules,
     "op6_media_chunks": op6_media_chunks,
     "op7_url_rules": op7_url_rules,
