@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_bitmap, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, url_rules
+from . import bpe_bitmap, lang_cnn, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, url_rules
 
 
 #: Rank file of the public vocabulary that texts are encoded by.
@@ -47,6 +47,10 @@ def op9_bpe_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_bitmap.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_cnn.languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
     "op2_quality_ftrl": op2_quality_ftrl,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_rules": op7_url_rules,
     "op8_mixing": op8_mixing,
     "op9_bpe_bitmap": op9_bpe_bitmap,
+    "op10_lang_cnn": op10_lang_cnn,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.oracle_sql(),
