@@ -87,10 +87,18 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
 
+def spaced(text: Column) -> Column:
+    """``text`` with each of tab to carriage return made a space; null becomes empty. (``replace`` looks for bytes and
+    is many times faster than ``translate``, which builds a string for each character.)"""
+    out = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words of ``text`` in order, as an array; null text has none. Built-in functions only."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:

@@ -3,8 +3,8 @@
 ``measures`` adds the figures of a text. ``RULES`` is the table: a name, a ratio of two figures and the bounds within
 which a text passes. ``judge`` turns the table into expressions over the figures.
 
-Words repeated in 8-word windows are counted without a shuffle and without a quadratic step: word hashes are paired by
-doubling into hashes of 8 words, and if no hash comes twice, nothing repeats, which is exact. Only else are the
+Words repeated in 8-word windows are counted without a shuffle and without a quadratic step: word hashes are combined
+into hashes of 8 words, and if no hash comes twice, nothing repeats, which is exact. Only else are the
 positions sorted by hash and the windows whose hash comes again compared as texts, so a hash collision changes nothing.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import words_of
+from .common import spaced
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -52,21 +52,10 @@ RULES = (
 )
 
 
-def _repeats(hashes: Column, words: Column) -> Column:
-    """Positions from 0 of the windows that come twice or more; hashes has one hash per window."""
-    n = F.size(hashes)
-    at = F.array_sort(F.zip_with(hashes, F.sequence(F.lit(0), n - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def twins(sorted_: Column, key: str) -> Column:
-        ahead = F.slice(sorted_, 2, F.size(sorted_))
-        behind = F.concat(F.array(F.lit(None).cast(f"struct<{key}:{'bigint' if key == 'h' else 'string'},i:int>")), sorted_)
-        near = F.arrays_zip(sorted_.alias("own"), ahead.alias("ahead"), F.slice(behind, 1, F.size(sorted_)).alias("behind"))
-        same = lambda x: F.coalesce(x["own"][key] == x["ahead"][key], F.lit(False)) | F.coalesce(x["own"][key] == x["behind"][key], F.lit(False))
-        return F.transform(F.filter(near, same), lambda x: x["own"]["i"])
-
-    window = lambda i: F.array_join(F.slice(words, i + 1, WINDOW), " ")
-    texts = F.array_sort(F.transform(twins(at, "h"), lambda i: F.struct(window(i).alias("t"), i.alias("i"))))
-    return F.array_sort(twins(texts, "t"))
+def _twins(sorted_: str, key: str) -> Column:
+    """Positions ``i`` of the entries of a sorted array whose ``key`` equals a neighbour's."""
+    same = lambda x, at: F.coalesce(x[key] == F.get(sorted_, at - 1)[key], F.lit(False)) | F.coalesce(x[key] == F.get(sorted_, at + 1)[key], F.lit(False))
+    return F.transform(F.filter(sorted_, same), lambda x: x["i"])
 
 
 def _covered(starts: Column) -> Column:
@@ -80,23 +69,30 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null text counts as empty. Repeated rows and null ids are kept; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col), text.alias("_t")).withColumn("_w", words_of(F.col("_t")))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    hashed = base.withColumn("_h1", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_lines", lines)
-    step = lambda c, by: F.zip_with(F.slice(c, by + 1, F.size(c)), F.slice(c, 1, F.greatest(F.size(c) - by, F.lit(0))), lambda b, a: F.xxhash64(a, b))
-    for by, made, of in ((1, "_h2", "_h1"), (2, "_h4", "_h2"), (4, "_h8", "_h4")):
-        hashed = hashed.withColumn(made, step(F.col(of), by))
-    some = hashed.withColumn("_again", F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), _repeats(F.col("_h8"), F.col("_w"))))
+    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    base = base.withColumns({"_flat": spaced(F.col("_t")), "_lines": F.filter(F.split("_t", "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != "")})
+    hashed = base.withColumn("_w", F.array_remove(F.split("_flat", " "), "")).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    of_window = lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(WINDOW)))
+    starts = F.when(F.size("_h") >= WINDOW, F.sequence(F.lit(0), F.size("_h") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    hashed = hashed.withColumn("_h8", F.transform(starts, of_window))
+    # Each step is a column of its own: inside one expression it would be computed once for every place that uses it.
+    window = lambda i: F.array_join(F.slice("_w", i + 1, WINDOW), " ")
+    some = hashed.withColumn("_by_hash", F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), F.sort_array(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    some = some.withColumn("_by_text", F.sort_array(F.transform(_twins("_by_hash", "h"), lambda i: F.struct(window(i).alias("t"), i.alias("i")))))
+    some = some.withColumn("_again", F.sort_array(_twins("_by_text", "t")))
+    bytes_of = lambda c: F.octet_length("_t") - F.octet_length(F.replace(F.col("_t"), F.lit(c), F.lit("")))
+    symbols = bytes_of(SYMBOLS[0])
+    for c in SYMBOLS[1:]:
+        symbols = symbols + bytes_of(c)
     return some.select(
         F.col(id_col),
         F.size("_w").cast("bigint").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.replace(F.col("_flat"), F.lit(" "), F.lit(""))).cast("bigint").alias("word_chars"),
+        symbols.cast("bigint").alias("n_symbols"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
-        (F.length("_t") - F.length(F.translate("_t", "!", ""))).cast("bigint").alias("n_bangs"),
+        bytes_of("!").cast("bigint").alias("n_bangs"),
         F.when(F.size("_again") > 0, _covered(F.col("_again"))).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
 
