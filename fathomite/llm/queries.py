@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_bitmap, lang_cnn, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, url_rules
+from . import bpe_bitmap, lang_cnn, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, toxicity_zdict, url_rules
 
 
 #: Rank file of the public vocabulary that texts are encoded by.
@@ -26,6 +26,10 @@ def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity_zdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_zdict.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.withColumn("failed", F.array_join("failed", ",")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -54,6 +58,7 @@ def op10_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
     "op2_quality_ftrl": op2_quality_ftrl,
+    "op3_toxicity_zdict": op3_toxicity_zdict,
     "op4_quality_rules": op4_quality_rules,
     "op6_media_chunks": op6_media_chunks,
     "op7_url_rules": op7_url_rules,
