@@ -159,7 +159,7 @@ def rebuild(lists: DataFrame, store: DataFrame, dictionary: bytes = b"", hot_ref
 
     A chunk that is missing or does not have its digest, or a file that does not have its name, ends the job.
     """
-    refs = lists.select("media", F.posexplode("chunks").alias("pos", "digest"))
+    refs = lists.select("media", F.posexplode("chunks").alias("pos", "digest")).hint("merge")
     hot = materialize(refs.groupBy("digest").count().filter(F.col("count") > hot_refs).select("digest"), "hot")
     if hot.limit(1).count():
         salted = refs.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("media", "pos"), F.lit(SALTS)).cast("int"))

@@ -105,10 +105,14 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``rows`` by the blocks that they fill, with from, upto (places in the row's own words) and times taken."""
+    """``rows`` by the blocks that they fill, with from, upto (places in the row's own words) and times taken.
+
+    The merge hint is needed: by its statistics the unrolled table of slots is as small as the table of sources, and
+    would be broadcast.
+    """
     times = slots(sources).groupBy("sid", "block").agg(F.count("*").alias("times"))
     first, last = F.floor(F.col("offset") / BLOCK), F.floor((F.col("offset") + F.col("size") - 1) / BLOCK)
-    parts = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last))).join(times, ["sid", "block"], "left")
+    parts = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last))).join(times.hint("merge"), ["sid", "block"], "left")
     begin, end = F.greatest(F.col("block") * BLOCK - F.col("offset"), F.lit(0)), F.least((F.col("block") + 1) * BLOCK - F.col("offset"), F.col("size"))
     return parts.withColumns({"from": begin, "upto": end, "times": F.coalesce("times", F.lit(0))})
 

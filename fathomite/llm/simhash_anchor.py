@@ -147,7 +147,8 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     """All pairs (fp, other), fp < other, of the distinct column ``fp`` that differ in 1 to ``threshold`` bits."""
     home, spread = _anchored(prints, threshold, False), _anchored(prints, threshold, True)
     near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= threshold)
-    return home.join(spread, "anchor").filter(near).select("fp", "other")
+    # By its statistics the replicated side is as small as its input, and could be broadcast.
+    return home.join(spread.hint("merge"), "anchor").filter(near).select("fp", "other")
 
 
 def components(pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
