@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 #: Pre-tokens remembered by a worker; all are forgotten when it is full. This bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 
 class RankQueue:
@@ -79,6 +79,7 @@ class Encoder:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.numerals = [str(i) for i in range(len(self.bytes_of))]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -153,9 +154,11 @@ def _shared(docs: DataFrame, ranks_path: str, pattern: str):
     return lambda: _encoder(raw.value, pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), verify: bool = False) -> DataFrame:
     """(id, kept columns, n_tokens, ids) for every row. Null and empty texts have no ids. No special tokens.
 
+    With ``verify`` each row's ids are decoded, and one that does not give the text's bytes ends the job.
+
     Rows with a null id and repeated rows are encoded like any other; other columns are dropped unless kept, so
     clashing names do not matter; an empty table gives an empty result.
     """
@@ -165,6 +168,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = get()
         ids = [encoder.encode(t.as_py()) for t in batch.column(len(columns))]
+        if verify:
+            for text, coded in zip(batch.column(len(columns)), ids, strict=True):
+                if encoder.decode(coded) != (text.as_py() or "").encode():
+                    raise ValueError("the ids of a text decode to another text")
         own = [batch.column(i) for i in range(len(columns))]
         return pa.RecordBatch.from_arrays([*own, pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*columns, "n_tokens", "ids"])
 
@@ -197,7 +204,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         for text in batch.column(1):
             ids = encoder.encode(text.as_py())
             counts.append(len(ids))
-            coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            coded.append(hashlib.sha256(" ".join(map(encoder.numerals.__getitem__, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
