@@ -151,11 +151,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return scored.select(id_col, (fold(F.col(id_col), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with their columns, whatever these are called."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    return score(rows, model, "_row", "_text").filter(F.col("score") >= threshold).select("_row.*")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with their columns. The label fold is as in ``quality``."""
-    model = train(docs, labels, "quality", id_col, text_col)
-    rest = [c for c in docs.columns if c not in (id_col,)]
-    renamed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text")) if "score" in rest else None
-    if renamed is not None:
-        return score(renamed, model, "_row", "_text").filter(F.col("score") >= threshold).select("_row.*")
-    return score(docs, model, id_col, text_col, tuple(rest)).filter(F.col("score") >= threshold).select(*docs.columns)
+    """``keep_scored`` with a model trained on ``docs`` and ``labels``; the label fold is as in ``quality``."""
+    return keep_scored(docs, train(docs, labels, "quality", id_col, text_col), text_col, threshold)

@@ -84,8 +84,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     symbols = bytes_of(SYMBOLS[0])
     for c in SYMBOLS[1:]:
         symbols = symbols + bytes_of(c)
-    return some.select(
-        F.col(id_col),
+    figures = F.struct(
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.replace(F.col("_flat"), F.lit(" "), F.lit(""))).cast("bigint").alias("word_chars"),
         symbols.cast("bigint").alias("n_symbols"),
@@ -95,6 +94,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         bytes_of("!").cast("bigint").alias("n_bangs"),
         F.when(F.size("_again") > 0, _covered(F.col("_again"))).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
+    # A row is unpacked from an array of one: a filter on a figure then stays above, where pushed down it would take
+    # all the columns that the figure is made of into one expression and compute them over and over.
+    return some.select(F.col(id_col), F.inline(F.array(figures)))
 
 
 def passes(rule: Rule) -> Column:

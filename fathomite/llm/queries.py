@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_bitmap, lang_cnn, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, toxicity_zdict, url_rules
+from . import bpe_bitmap, html_region, lang_cnn, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, toxicity_zdict, url_rules
 
 
 #: Rank file of the public vocabulary that texts are encoded by.
@@ -35,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("failed", F.array_join("failed", ",")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op5_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_region.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_columns(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ftrl": op2_quality_ftrl,
     "op3_toxicity_zdict": op3_toxicity_zdict,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_region": op5_html_region,
     "op6_media_chunks": op6_media_chunks,
     "op7_url_rules": op7_url_rules,
     "op8_mixing": op8_mixing,
