@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 #: Pre-tokens remembered by a worker; all are forgotten when it is full. This bounds memory, not results.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 
 
 class RankQueue:

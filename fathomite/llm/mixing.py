@@ -145,12 +145,14 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     piece = F.struct("from", "upto", "times")
     picks = _pieces(rows, sources).filter("times > 0").groupBy("sid", "offset").agg(F.first("h").alias("_h"), F.first("size").alias("_size"), F.sort_array(F.collect_list(piece)).alias("_picks"))
     texts = docs.withColumn("_h", row_key(id_col, text_col, source_col)).dropDuplicates(["_h"])
-    again = texts.join(picks.select("_h", "_size", "_picks"), "_h").withColumn("_pass", F.explode(F.array(*map(F.lit, range(1, CAP + 1)))))
-    again = again.withColumn("_own", F.filter("_picks", lambda p: p["times"] >= F.col("_pass"))).filter(F.size("_own") > 0)
+    again = texts.join(picks.select("_h", "_size", "_picks"), "_h").withColumn("_words", words_of(F.col(text_col)))
+    taken = lambda n: F.filter("_picks", lambda p: p["times"] >= n)
+    times = F.array(*map(taken, range(1, CAP + 1)))
+    # Unrolling also keeps the words a column of their own; inside the expression below they would be split for each piece.
+    again = again.select(*docs.columns, "_size", "_words", F.explode(F.filter(times, lambda own: F.size(own) > 0)).alias("_own"))
     whole = F.aggregate("_own", F.lit(0).cast("bigint"), lambda n, p: n + p["upto"] - p["from"]) == F.col("_size")
-    words = words_of(F.col(text_col))
-    some = F.array_join(F.flatten(F.transform("_own", lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int")))), " ")
-    again = again.withColumn("_words", F.when(~whole, words)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some))
+    some = F.array_join(F.flatten(F.transform("_own", lambda p: F.slice("_words", (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int")))), " ")
+    again = again.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some))
     if length_col is not None:
         again = again.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return again.select(*docs.columns)
