@@ -1,5 +1,440 @@
-"""The query catalog: names, plans and the SQL that states their results."""
+"""The query catalog: names, plans over whole tables, and DuckDB SQL that states their results."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import period as P, text as T, values as V, xbrl as X
+from ..operators import chunking, decisions as D, facts as FA, retrieval as R
+from . import views
+from .views import FACTS_SQL, PASSAGES_SQL, QUESTIONS_SQL, VERDICTS_SQL, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "q_hybrid_retrieve"
+
+
+def query(sql: str | None = None):
+    def register(plan: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[plan.__name__] = plan
+        if sql is not None:
+            ORACLE_SQL[plan.__name__] = sql
+        return plan
+
+    return register
+
+
+# --- Shared SQL ---------------------------------------------------------------------------------------------------------
+TOKEN_SQL = r"regexp_extract_all(lower({}), '\b[a-z0-9][a-z0-9''-]*\b')"
+BM25_SQL = f"""{PASSAGES_SQL}, {QUESTIONS_SQL},
+tok AS (SELECT id, {TOKEN_SQL.format("text")} AS t FROM passages), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+tf AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+qt AS (SELECT slot_id, term, count(*) AS qtf FROM (SELECT slot_id, unnest({TOKEN_SQL.format("query")}) AS term FROM questions) GROUP BY ALL),
+bm AS (SELECT slot_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score
+  FROM qt JOIN idf USING (term) JOIN tf USING (term) GROUP BY slot_id, id)"""
+COS_SQL = """vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cs AS (SELECT b.item_id AS slot_id, d.id, round(list_dot_product(d.v, q.v) / (sqrt(list_dot_product(d.v, d.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS score
+  FROM benchmark b JOIN vec q ON q.id = b.item_id, vec d)"""
+
+
+def _rank_sql(source: str, k: int, name: str, where: str = "TRUE") -> str:
+    return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY score DESC, id) AS rank FROM {source} WHERE {where} QUALIFY rank <= {k})"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi").select(F.col("id").alias("slot_id"), "vector")
+
+
+def _bm25_top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    scored = R.bm25_scores(views.passages(spark, sf_dir), views.questions(spark, sf_dir)).filter("score > 0").withColumn("seq", F.col("id"))
+    return R.top_k(scored, k)
+
+
+def _cosine_top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    scored = R.cosine_scores(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).withColumn("slot_id", F.col("slot_id").cast("bigint")).withColumn("seq", F.col("id"))
+    return R.top_k(scored, k)
+
+
+# --- Text ---------------------------------------------------------------------------------------------------------------
+@query(f"WITH {PASSAGES_SQL}, t AS (SELECT id, {TOKEN_SQL.format('text')} AS t FROM passages) SELECT id, CAST(len(t) AS INT) AS n_tokens, CAST(len(list_distinct(t)) AS INT) AS n_distinct, array_to_string(t, ' ') AS tokens FROM t")
+def q_tokenize(spark, sf_dir):
+    t = views.passages(spark, sf_dir).withColumn("t", T.tokenize(F.col("text")))
+    return t.select("id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.array_join("t", " ").alias("tokens"))
+
+
+@query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def q_doc_freq(spark, sf_dir):
+    counts = R.term_counts(views.passages(spark, sf_dir))
+    n = R.corpus_figures(views.passages(spark, sf_dir)).first()["n"]
+    return R.inverse_frequencies(counts, n).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {PASSAGES_SQL} SELECT count(*) AS n, round(avg(len({TOKEN_SQL.format('text')})), 6) AS avgdl FROM passages")
+def q_avgdl(spark, sf_dir):
+    return R.corpus_figures(views.passages(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s]+')) AS INT) AS n_words, CAST(floor(len(regexp_extract_all(text, '[^\s]+')) * CAST(1.3 AS DOUBLE)) AS INT) AS n_estimated FROM documents")
+def q_word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"), T.estimate_tokens(F.col("text")).alias("n_estimated"))
+
+
+_ABBR = "|".join(a.replace(".", r"\.") for a in V.ABBREVIATIONS)
+SENTENCES_SQL = (
+    rf"list_filter(flatten(list_transform(string_split(regexp_replace(regexp_replace(t, '\b({_ABBR})\.(\s)', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z\"''(\[])', '\1' || chr(2) || '\2', 'g'), chr(2)), "
+    r"lambda p: list_transform(string_split_regex(p, '\n{2,}'), lambda s: trim(replace(s, chr(1), '.'), ' ' || chr(9) || chr(10) || chr(13))))), lambda s: s <> '')"
+)
+
+
+@query(f"WITH {PASSAGES_SQL}, s AS (SELECT id, {SENTENCES_SQL.replace('(t,', '(text,')} AS s FROM passages) SELECT id, CAST(len(s) AS INT) AS n_sentences, array_to_string(s, '|') AS sentences FROM s")
+def q_sentences(spark, sf_dir):
+    s = views.passages(spark, sf_dir).withColumn("s", T.sentences(F.col("text")))
+    return s.select("id", F.size("s").alias("n_sentences"), F.array_join("s", "|").alias("sentences"))
+
+
+CHUNKS_SQL = f"""WITH RECURSIVE {PASSAGES_SQL},
+s AS (SELECT id, i, sent, len(regexp_extract_all(sent, '[^\\s]+')) AS n FROM (SELECT id, unnest(x) AS sent, generate_subscripts(x, 1) AS i FROM (SELECT id, {SENTENCES_SQL.replace('(t,', '(text,')} AS x FROM passages))),
+c AS (SELECT id, i, n, sum(n) OVER (PARTITION BY id ORDER BY i) AS upto, count(*) OVER (PARTITION BY id) AS all_ FROM s),
+f AS (SELECT id, 0 AS k, 1 AS first, (SELECT coalesce(max(b.i), 1) FROM c b WHERE b.id = a.id AND b.upto <= 500) AS last, all_ FROM c a WHERE i = 1
+  UNION ALL
+  SELECT id, k + 1, nf, (SELECT max(b.i) FROM c b WHERE b.id = g.id AND (b.i = g.last + 1 OR (b.i > g.last + 1 AND b.upto - (SELECT upto - n FROM c d WHERE d.id = g.id AND d.i = g.nf) <= 500))), all_
+  FROM (SELECT f.*, (SELECT min(b.i) FROM c b WHERE b.id = f.id AND b.i <= f.last AND b.i > f.first - 1 AND (b.i = f.last OR (SELECT upto FROM c d WHERE d.id = f.id AND d.i = f.last) - b.upto + b.n <= 50)) AS nf FROM f WHERE last < all_) g)
+SELECT 'doc-' || f.id || '__body__chunk_' || k AS chunk_id, string_agg(sent, ' ' ORDER BY s.i) AS text, CAST(k AS INT) AS position_index
+FROM f JOIN s ON s.id = f.id AND s.i BETWEEN first AND last GROUP BY f.id, k"""
+
+
+@query(CHUNKS_SQL)
+def q_chunks(spark, sf_dir):
+    sections = views.passages(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("document_id"), F.lit("body").alias("section"), "text")
+    return chunking.chunks(sections).select("chunk_id", "text", "position_index")
+
+
+NORMALIZE_SQL = "coalesce({}, '')"
+for _old, _new in {**T._PUNCTUATION}.items():
+    NORMALIZE_SQL = f"replace({NORMALIZE_SQL}, '{_old}', '{_new.replace(chr(39), chr(39) * 2)}')"
+for _old, _new in T._ENTITIES.items():
+    for _form in dict.fromkeys((_old, _old.upper())):
+        NORMALIZE_SQL = f"replace({NORMALIZE_SQL}, '{_form}', '{_new.replace(chr(39), chr(39) * 2)}')"
+NORMALIZE_SQL = f"regexp_replace({NORMALIZE_SQL}, '[\\x00\\x0b\\x0c]', '', 'g')"
+NORMALIZE_SQL = f"regexp_replace({NORMALIZE_SQL}, '\\r\\n?', chr(10), 'g')"
+NORMALIZE_SQL = f"regexp_replace({NORMALIZE_SQL}, '[ \\t\\x{{a0}}]+', ' ', 'g')"
+NORMALIZE_SQL = f"replace(regexp_replace({NORMALIZE_SQL}, ' +$', ''), ' ' || chr(10), chr(10))"
+NORMALIZE_SQL = f"trim(regexp_replace({NORMALIZE_SQL}, '\\n[ \\t]*\\n[ \\t]*\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(f"SELECT page_id AS id, 'page' AS kind, {NORMALIZE_SQL.replace('{}', 'html')} AS text FROM pages UNION ALL SELECT doc_id, 'document', {NORMALIZE_SQL.replace('{}', 'text')} FROM documents")
+def q_normalize_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), T.normalize_text(F.col("html")).alias("text"))
+    return pages.unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), T.normalize_text(F.col("text")).alias("text")))
+
+
+@query("""SELECT conv_id, count(*) AS n_turns, string_agg(CASE WHEN role = 'user' THEN 'User:' ELSE 'Assistant:' END || chr(10) || text, chr(10) || chr(10) ORDER BY turn, text) AS transcript FROM conversations GROUP BY conv_id""")
+def q_turns(spark, sf_dir):
+    line = F.concat(F.when(F.col("role") == "user", "User:").otherwise("Assistant:"), F.lit("\n"), F.col("text"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", "text", line.alias("line")))).alias("_t"))
+    return turns.select("conv_id", "n_turns", F.array_join(F.transform("_t", lambda x: x["line"]), "\n\n").alias("transcript"))
+
+
+NUMBERS_SQL = r"list_filter(regexp_extract_all({}, '\b\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?\b|\b\d+\.\d+\b|\b\d{{2,}}\b'), lambda x: NOT regexp_matches(replace(x, ',', ''), '^(?:19|20)\d{{2}}$'))"
+
+
+@query(f"WITH {PASSAGES_SQL}, n AS (SELECT id, {NUMBERS_SQL.format('text')} AS n FROM passages) SELECT id, array_to_string(list_sort(list_distinct(list_concat(n, list_transform(n, lambda x: replace(x, ',', ''))))), ' ') AS numbers FROM n")
+def q_numeric_tokens(spark, sf_dir):
+    return views.passages(spark, sf_dir).select("id", F.array_join(F.sort_array(T.significant_numbers(F.col("text"))), " ").alias("numbers"))
+
+
+@query(f"""WITH {PASSAGES_SQL}, {QUESTIONS_SQL}, w AS (SELECT slot_id, list_distinct(regexp_extract_all(lower(query), '[a-z]{{4,}}')) AS q FROM questions),
+d AS (SELECT id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS t FROM passages),
+j AS (SELECT slot_id, id, len(list_intersect(q, t)) / CAST(len(list_distinct(list_concat(q, t))) AS DOUBLE) AS score FROM w, d WHERE len(list_intersect(q, t)) > 0)
+SELECT slot_id, id, round(score, 6) AS jaccard FROM j QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY round(score, 6) DESC, id) <= 5""")
+def q_jaccard(spark, sf_dir):
+    # Shared words are counted over an equi-join on the word; the union's size follows from both sets' sizes.
+    words = lambda d, key, c: d.select(key, F.array_distinct(T.find_all(F.lower(c), r"[a-z]{4,}")).alias("_w")).select(key, F.size("_w").alias(f"n_{key}"), F.explode("_w").alias("w"))
+    both = words(views.questions(spark, sf_dir), "slot_id", "query").join(words(views.passages(spark, sf_dir), "id", "text"), "w").groupBy("slot_id", "id", "n_slot_id", "n_id").agg(F.count("*").alias("c"))
+    scored = both.select("slot_id", "id", F.round(F.col("c") / (F.col("n_slot_id") + F.col("n_id") - F.col("c")), 6).alias("score"), F.col("id").alias("seq"))
+    return R.top_k(scored, 5).select("slot_id", "id", F.col("score").alias("jaccard"))
+
+
+@query("""SELECT item_id, count(*) AS n_documents, min(doc_id) AS first_document FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
+def q_anchor_locate(spark, sf_dir):
+    # Anchors meet only documents that hold their first eight words in a row, by an equi-join on that window's hash.
+    # The words are a column of their own before the windows are unrolled, else they would be split for each window.
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))
+    words = lambda c: F.split(T.collapse(F.col(c)), " ")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("anchor"), F.slice(words("text"), 2, 8).alias("_w"))
+    asked = asked.select("item_id", "anchor", F.explode(F.slice(grams(F.col("_w")), 1, 1)).alias("h"))
+    held = table(spark, sf_dir, "documents").select("doc_id", "text", words("text").alias("_w")).select("doc_id", "text", F.explode(F.array_distinct(grams(F.col("_w")))).alias("h"))
+    found = held.join(F.broadcast(asked), "h").filter(F.contains("text", F.col("anchor"))).select("item_id", "doc_id").distinct()
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
+
+
+# --- Retrieval ------------------------------------------------------------------------------------------------------------
+@query(f"WITH {BM25_SQL}, {_rank_sql('bm', 10, 'top', 'score > 0')} SELECT slot_id, id, score, CAST(rank AS INT) AS rank FROM top")
+def q_bm25_topk(spark, sf_dir):
+    return _bm25_top(spark, sf_dir).select("slot_id", "id", "score", "rank")
+
+
+@query(f"WITH {COS_SQL}, {_rank_sql('cs', 10, 'top')} SELECT slot_id, id, score, CAST(rank AS INT) AS rank FROM top")
+def q_cosine_topk(spark, sf_dir):
+    return _cosine_top(spark, sf_dir).select("slot_id", "id", "score", "rank")
+
+
+FUSE_SQL = """v AS (SELECT slot_id, id, row_number() OVER (PARTITION BY slot_id ORDER BY rank) AS vrank, score AS vector_score FROM {v}),
+b AS (SELECT slot_id, id, row_number() OVER (PARTITION BY slot_id ORDER BY rank) AS brank, score AS bm25_score FROM {b}),
+j AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + vrank), 0) + coalesce(1.0::DOUBLE / (60 + brank), 0), 6) AS rrf_score FROM v FULL JOIN b USING (slot_id, id))
+SELECT slot_id, id, CAST(row_number() OVER (PARTITION BY slot_id ORDER BY rrf_score DESC, coalesce(vrank, 1000000 + brank)) AS INT) AS fused_rank, rrf_score, vector_score, bm25_score FROM j QUALIFY fused_rank <= 8"""
+HYBRID_SQL = f"WITH {BM25_SQL}, {COS_SQL}, {_rank_sql('bm', 10, 'bt', 'score > 0')}, {_rank_sql('cs', 10, 'vt')}, "
+
+
+@query(HYBRID_SQL + FUSE_SQL.format(v="vt", b="bt"))
+def q_hybrid_retrieve(spark, sf_dir):
+    return R.fuse(_cosine_top(spark, sf_dir), _bm25_top(spark, sf_dir), 8)
+
+
+@query(HYBRID_SQL + "seen AS (SELECT slot_id, id FROM vt WHERE rank <= 3), " + FUSE_SQL.format(v="vt ANTI JOIN seen USING (slot_id, id)", b="bt ANTI JOIN seen USING (slot_id, id)"))
+def q_memory_exclusion(spark, sf_dir):
+    v, b = _cosine_top(spark, sf_dir), _bm25_top(spark, sf_dir)
+    seen = v.filter("rank <= 3")
+    return R.fuse(R.exclude(v, seen), R.exclude(b, seen), 8)
+
+
+@query(HYBRID_SQL + "l AS (SELECT slot_id, id, 0 AS layer, rank FROM bt UNION ALL SELECT slot_id, id, 1, rank FROM vt) SELECT slot_id, id, CAST(row_number() OVER (PARTITION BY slot_id ORDER BY layer, rank) AS INT) AS rank FROM l")
+def q_layer_concat(spark, sf_dir):
+    return R.concatenate_layers(_bm25_top(spark, sf_dir), _cosine_top(spark, sf_dir)).select("slot_id", "id", "rank")
+
+
+# --- Periods --------------------------------------------------------------------------------------------------------------
+PERIOD_SQL = r"""CASE WHEN regexp_matches(p, '^\d{4}Q[1-4]$') THEN 'quarter' WHEN regexp_matches(p, '^FY\d{4}$') THEN 'fiscal_year' WHEN regexp_matches(p, '^FY\d{4}-guidance$') THEN 'fy_guidance'
+ WHEN regexp_matches(p, '^\d{4}-\d{2}-\d{2}$') AND TRY_CAST(p AS DATE) IS NOT NULL THEN 'instant' END"""
+PERIODS_SQL = "periods AS (SELECT period AS p, count(*) AS n FROM facts GROUP BY 1 UNION ALL SELECT period || 'x', count(*) FROM facts WHERE period IS NOT NULL GROUP BY 1 UNION ALL SELECT period || '-guidance', count(*) FROM facts WHERE period LIKE 'FY%' GROUP BY 1)"
+
+
+def _periods(spark, sf_dir):
+    own = views.facts(spark, sf_dir).groupBy(F.col("period").alias("p")).agg(F.count("*").alias("n"))
+    wrong = own.filter("p IS NOT NULL").withColumn("p", F.concat("p", F.lit("x")))
+    return own.unionByName(wrong).unionByName(own.filter("p LIKE 'FY%'").withColumn("p", F.concat("p", F.lit("-guidance"))))
+
+
+@query(f"WITH {FACTS_SQL}, {PERIODS_SQL} SELECT p, n, {PERIOD_SQL} AS kind, {PERIOD_SQL} IS NOT NULL AS valid, CASE WHEN {PERIOD_SQL} IS NOT NULL THEN p END AS formatted FROM periods")
+def q_period_parse(spark, sf_dir):
+    p = F.col("p")
+    return _periods(spark, sf_dir).select("p", "n", P.parse_period(p)["kind"].alias("kind"), P.is_valid_period(p).alias("valid"), P.format_period(P.parse_period(p)).alias("formatted"))
+
+
+DOC_PERIOD_SQL = r"""CASE WHEN source_document LIKE 'nflx-10k-%' THEN 'FY' || right(source_document, 4) ELSE regexp_replace(source_document, '^nflx-10q-(\d{4})-q(\d)$', '\1Q\2') END"""
+
+
+@query(f"WITH {FACTS_SQL} SELECT source_document, {DOC_PERIOD_SQL} AS period, count(*) AS n FROM facts GROUP BY 1")
+def q_doc_period(spark, sf_dir):
+    return views.facts(spark, sf_dir).groupBy("source_document").agg(F.count("*").alias("n")).select("source_document", P.period_of_document(F.col("source_document")).alias("period"), "n")
+
+
+EQUIV_SQL = """(a = b OR (left(a, 2) = 'FY' AND length(a) = 6 AND b = substr(a, 3) || '-12-31') OR (left(b, 2) = 'FY' AND length(b) = 6 AND a = substr(b, 3) || '-12-31')
+ OR (substr(a, 5, 1) = 'Q' AND length(a) = 6 AND b = left(a, 4) || '-' || (['03-31', '06-30', '09-30', '12-31'])[TRY_CAST(substr(a, 6, 1) AS INT)])
+ OR (substr(b, 5, 1) = 'Q' AND length(b) = 6 AND a = left(b, 4) || '-' || (['03-31', '06-30', '09-30', '12-31'])[TRY_CAST(substr(b, 6, 1) AS INT)]))"""
+
+
+@query(f"WITH {FACTS_SQL}, {PERIODS_SQL}, x AS (SELECT p AS a FROM periods WHERE p IS NOT NULL), y AS (SELECT p AS b FROM periods WHERE p IS NOT NULL) SELECT a, b FROM x, y WHERE {EQUIV_SQL}")
+def q_period_equiv(spark, sf_dir):
+    p = _periods(spark, sf_dir).filter("p IS NOT NULL").select("p")
+    return p.select(F.col("p").alias("b"), F.explode(P.equivalent_periods(F.col("p"))).alias("a")).join(p.select(F.col("p").alias("a")), "a").select("a", "b")
+
+
+@query(f"WITH {FACTS_SQL}, w AS (SELECT DISTINCT period AS b FROM facts WHERE period IS NOT NULL), f AS (SELECT fact_id, coalesce(period, {DOC_PERIOD_SQL}) AS a FROM facts) SELECT b AS period_filter, count(*) AS n_facts, min(fact_id) AS first_fact FROM w JOIN f ON {EQUIV_SQL} GROUP BY b")
+def q_filter_by_period(spark, sf_dir):
+    f = views.facts(spark, sf_dir)
+    bridge = f.filter("period IS NOT NULL").select(F.col("period").alias("period_filter")).distinct().select("period_filter", F.explode(P.equivalent_periods(F.col("period_filter"))).alias("own"))
+    own = f.select("fact_id", F.coalesce("period", P.period_of_document(F.col("source_document"))).alias("own"))
+    per = own.groupBy("own").agg(F.count("*").alias("n"), F.min("fact_id").alias("first"))
+    return bridge.join(per, "own").groupBy("period_filter").agg(F.sum("n").alias("n_facts"), F.min("first").alias("first_fact"))
+
+
+@query("""WITH d AS (SELECT datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) * 3 AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT CASE WHEN n + 1 BETWEEN 88 AND 95 THEN 'qtd' WHEN n + 1 BETWEEN 178 AND 186 THEN 'ytd_6m' WHEN n + 1 BETWEEN 268 AND 275 THEN 'ytd_9m' WHEN n + 1 BETWEEN 360 AND 370 THEN 'fy' ELSE 'unknown' END AS kind, count(*) AS n FROM d GROUP BY 1""")
+def q_context_kind(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    start = F.to_date("o_orderdate")
+    end = F.date_add(start, F.datediff(F.to_date("l_shipdate"), start) * 3)
+    return rows.select(X.period_kind(F.lit(None).cast("date"), start, end).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- Facts ----------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {FACTS_SQL}, k AS (SELECT *, 'brand ' || lower(trim(concept_tag)) AS c, coalesce(period, '') AS p FROM facts)
+SELECT fact_id, min(fact_id) OVER (PARTITION BY c, source_document, p) AS position FROM k QUALIFY row_number() OVER (PARTITION BY c, source_document, p ORDER BY confidence DESC, fact_id) = 1""")
+def q_fact_dedup(spark, sf_dir):
+    f = views.facts(spark, sf_dir).withColumns({"claim": F.concat(F.lit("Brand  "), F.col("concept_tag"), F.lit(" ")), "asserter": F.lit("all")})
+    return FA.dedup_facts(f, "fact_id").select("fact_id", "position")
+
+
+@query(f"""WITH {FACTS_SQL}, r AS (SELECT *, first_value(value) OVER (PARTITION BY concept_tag, source_document, period ORDER BY fact_id) AS v FROM facts)
+SELECT concept_tag, source_document, period, min(fact_id) AS fact_id, any_value(v) AS value, count(*) - 1 AS n_duplicates, CAST(sum((value <> v)::INT) AS BIGINT) AS n_mismatches FROM r GROUP BY 1, 2, 3""")
+def q_first_wins_dedup(spark, sf_dir):
+    return FA.first_wins(views.facts(spark, sf_dir), ["concept_tag", "source_document", "period"], "fact_id")
+
+
+@query("""SELECT o_custkey, year(o_orderdate) AS year, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderstatus = 'P', o_orderdate DESC, o_orderkey) = 1""")
+def q_latest_filing(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumns({"year": F.year("o_orderdate").cast("bigint"), "amended": F.col("o_orderstatus") == "P"})
+    return FA.latest_filing(o, ["o_custkey", "year"], "amended", "o_orderdate", "o_orderkey").select("o_custkey", "year", "o_orderkey")
+
+
+@query(f"""WITH {FACTS_SQL} SELECT t.fact_id, count(*) AS n_later FROM facts t JOIN facts c ON lower(trim(t.concept_tag)) = lower(trim(c.concept_tag)) AND coalesce(t.period, '') = coalesce(c.period, '')
+AND c.assertion_date > t.assertion_date AND c.value <> t.value GROUP BY 1""")
+def q_restatement(spark, sf_dir):
+    return FA.restated(views.facts(spark, sf_dir))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT fact_type, count(*) AS n, CAST(sum((confidence >= CAST(0.8 AS DOUBLE) AND verbatim_anchor <> '' AND (fact_type = 'causal_explanation' OR assertion_date > DATE '1995-01-01'))::INT) AS BIGINT) AS n_strong FROM facts GROUP BY 1""")
+def q_strong_gates(spark, sf_dir):
+    strategy = F.try_element_at(F.create_map(*(F.lit(x) for kv in V.STRATEGY_OF_FACT.items() for x in kv)), F.col("fact_type"))
+    ok = FA.passes_strong_gates(strategy, F.lit("1995-01-01").cast("date"))
+    return views.facts(spark, sf_dir).groupBy("fact_type").agg(F.count("*").alias("n"), F.sum(ok.cast("int")).alias("n_strong"))
+
+
+@query(f"""WITH {FACTS_SQL}, r AS (SELECT CASE WHEN NOT (coalesce(period, {DOC_PERIOD_SQL}) IN ('FY1996', '1996-12-31')) THEN 'period_integrity' WHEN fact_type <> 'risk_disclosure' AND NOT contains(lower(concept_tag), 'total assets') THEN 'numerical_exactness' END AS reason FROM facts)
+SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
+def q_prefilter_reasons(spark, sf_dir):
+    f = views.facts(spark, sf_dir).withColumns({
+        "period_filter": F.lit("FY1996"), "sub_question": F.lit("What were the total  assets?"), "key_terms": F.array(F.lit("Total Assets")),
+        "evidence_type": F.when(F.col("fact_type") == "risk_disclosure", "definition").otherwise("specific_metric"),
+    })
+    return f.groupBy(F.coalesce(FA.prefilter_reason(), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT coalesce(CASE WHEN fact_type = 'financial_metric' THEN 'financial_metric' WHEN verbatim_anchor = '' OR NOT contains(claim, verbatim_anchor) THEN 'anchor' WHEN confidence < CAST(0.95 AS DOUBLE) THEN 'low_confidence' END, 'kept') AS reason, count(*) AS n FROM facts GROUP BY 1""")
+def q_drop_reasons(spark, sf_dir):
+    f = views.facts(spark, sf_dir).withColumns({"chunk_text": F.col("claim"), "confidence": F.round(F.col("confidence") - 0.45, 2).cast("string")})
+    return f.groupBy(F.coalesce(FA.prose_drop_reason(), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT concept_tag, count(DISTINCT source_document) AS n_documents, round(CAST(100.0 AS DOUBLE) * count(DISTINCT source_document) / (SELECT count(DISTINCT source_document) FROM facts), 1) AS pct FROM facts GROUP BY 1""")
+def q_concept_coverage(spark, sf_dir):
+    return FA.coverage(views.facts(spark, sf_dir))
+
+
+@query(f"""WITH {FACTS_SQL}, c AS (SELECT fact_type, source_document, count(*) AS n FROM facts GROUP BY 1, 2), r AS (SELECT fact_type, n, row_number() OVER (PARTITION BY fact_type ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY fact_type) AS m FROM c)
+SELECT fact_type, {", ".join(f"max(CASE WHEN i = CAST(round_even((m - 1) * {p}, 0) AS INT) THEN n END) AS p{round(p * 100)}" for p in (0.0, 0.5, 0.9, 1.0))} FROM r GROUP BY 1""")
+def q_percentile_nearest(spark, sf_dir):
+    per = views.facts(spark, sf_dir).groupBy("fact_type", "source_document").agg(F.count("*").alias("n"))
+    return FA.nearest_rank(per, "fact_type", "n", (0.0, 0.5, 0.9, 1.0))
+
+
+@query(f"WITH {FACTS_SQL} SELECT fact_type, count(*) AS n, round(CAST(100.0 AS DOUBLE) * count(*) / (SELECT count(*) FROM facts), 1) AS pct FROM facts GROUP BY 1")
+def q_type_pct(spark, sf_dir):
+    per = views.facts(spark, sf_dir).groupBy("fact_type").agg(F.count("*").alias("n"))
+    return per.join(F.broadcast(per.agg(F.sum("n").alias("_all")))).select("fact_type", "n", F.round(100.0 * F.col("n") / F.col("_all"), 1).alias("pct"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT source_document, count(*) AS n, round(avg((coalesce(confidence, 0) < CAST(0.95 AS DOUBLE))::INT), 4) AS low_rate FROM facts GROUP BY 1")
+def q_low_conf_rate(spark, sf_dir):
+    low = (F.coalesce("confidence", F.lit(0.0)) < 0.95).cast("int")
+    return views.facts(spark, sf_dir).groupBy("source_document").agg(F.count("*").alias("n"), F.round(F.avg(low), 4).alias("low_rate"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT asserter, count(*) AS n FROM facts GROUP BY 1 ORDER BY n DESC, asserter LIMIT 10")
+def q_top10(spark, sf_dir):
+    return views.facts(spark, sf_dir).groupBy("asserter").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "asserter").limit(10)
+
+
+@query(f"WITH {FACTS_SQL} SELECT fact_id AS source_id, 'F-PROSE-' || source_document || '-' || lpad(CAST(row_number() OVER (PARTITION BY source_document ORDER BY fact_id) AS VARCHAR), 4, '0') AS fact_id FROM facts WHERE confidence >= CAST(0.95 AS DOUBLE)")
+def q_fact_ids(spark, sf_dir):
+    kept = views.facts(spark, sf_dir).filter("confidence >= 0.95D").withColumnRenamed("fact_id", "source_id")
+    return FA.mint_ids(kept, "source_document", "source_id").select("source_id", "fact_id")
+
+
+@query(f"""WITH {FACTS_SQL}, a AS (SELECT DISTINCT concept_tag FROM facts WHERE fact_type = 'financial_metric'), b AS (SELECT DISTINCT concept_tag FROM facts WHERE confidence < CAST(0.91 AS DOUBLE) AND fact_type = 'accounting_policy')
+SELECT 'only_metric' AS kind, concept_tag FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'both', concept_tag FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'any', concept_tag FROM (FROM a UNION FROM b)""")
+def q_setops(spark, sf_dir):
+    f = views.facts(spark, sf_dir)
+    a, b = f.filter("fact_type = 'financial_metric'").select("concept_tag").distinct(), f.filter("confidence < 0.91D AND fact_type = 'accounting_policy'").select("concept_tag").distinct()
+    named = lambda kind, d: d.select(F.lit(kind).alias("kind"), "concept_tag")
+    return named("only_metric", a.exceptAll(b)).unionByName(named("both", a.intersect(b))).unionByName(named("any", a.union(b).distinct()))
+
+
+# --- Decisions --------------------------------------------------------------------------------------------------------------
+LAST_SQL = f"WITH {VERDICTS_SQL}, last AS (SELECT run_id, slot_id, arg_max(verdict, event_id) AS verdict, arg_max(n_supported, event_id) AS n_supported FROM verdicts GROUP BY 1, 2)"
+
+
+@query(LAST_SQL + " SELECT run_id, slot_id, verdict, n_supported FROM last")
+def q_last_per_slot(spark, sf_dir):
+    return D.last_of_slot(views.verdicts(spark, sf_dir).withColumn("_v", F.struct("verdict", "n_supported")), ["run_id", "slot_id"], "_v", "event_id").select("run_id", "slot_id", "_v.*")
+
+
+@query(LAST_SQL + """, c AS (SELECT run_id, count(*) AS n, count_if(verdict = 'covered') AS covered, count_if(verdict = 'contradiction') AS contradictions, count_if(verdict = 'exhausted') AS exhausted,
+count_if(verdict = 'covered' OR (verdict = 'contradiction' AND n_supported > 0)) AS solid FROM last GROUP BY 1),
+l AS (SELECT *, CASE WHEN covered = n AND contradictions = 0 THEN 'NORMAL' WHEN solid = 0 THEN 'CLARIFICATION_REQUEST' ELSE 'PARTIAL' END AS level FROM c)
+SELECT run_id, n, CAST(covered AS BIGINT) AS covered, CAST(contradictions AS BIGINT) AS contradictions, CAST(exhausted AS BIGINT) AS exhausted, level, CASE WHEN level = 'NORMAL' THEN 'none' WHEN level = 'CLARIFICATION_REQUEST' OR exhausted > 0 THEN 'slot_exhaustion' ELSE 'none' END AS cause FROM l""")
+def q_degradation(spark, sf_dir):
+    return D.degradation(q_last_per_slot(spark, sf_dir))
+
+
+@query(f"""WITH {VERDICTS_SQL}, d AS (SELECT slot_id, event_id, abs(coverage / 500 - lag(coverage / 500) OVER (PARTITION BY slot_id ORDER BY event_id)) AS d1 FROM verdicts),
+e AS (SELECT *, lag(d1) OVER (PARTITION BY slot_id ORDER BY event_id) AS d2 FROM d)
+SELECT slot_id, count(*) AS n, coalesce(count(*) >= 3 AND arg_max(coalesce(d1, 9), event_id) < CAST(0.03 AS DOUBLE) AND arg_max(coalesce(d2, 9), event_id) < CAST(0.03 AS DOUBLE), FALSE) AS stalled FROM e GROUP BY 1""")
+def q_stall(spark, sf_dir):
+    return D.stalled(views.verdicts(spark, sf_dir).withColumn("coverage", F.col("coverage") / 500), iteration="event_id")
+
+
+@query(f"WITH {VERDICTS_SQL} SELECT run_id, slot_id, event_id, verdict, CAST(row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS INT) AS seq, CAST(row_number() OVER (PARTITION BY run_id, slot_id ORDER BY event_id) AS INT) AS iteration FROM verdicts")
+def q_progression(spark, sf_dir):
+    return D.progression(views.verdicts(spark, sf_dir), "run_id", "slot_id", ["event_id"]).select("run_id", "slot_id", "event_id", "verdict", "seq", "iteration")
+
+
+CLAIM_NUMBERS_SQL = NUMBERS_SQL.format("claim_text")
+
+
+def _answers(spark, sf_dir):
+    """Claims that state an order's number and a value rounded to hundreds, citing the fact."""
+    stated = F.format_number(F.floor(F.col("value") / 100) * 100, 0)
+    text = F.concat(F.lit("Order "), F.split("fact_id", "-")[1], F.lit(" came to "), stated, F.lit("."))
+    return views.facts(spark, sf_dir).select(F.col("fact_id").alias("claim_id"), text.alias("claim_text"), F.lit("grounded").alias("claim_type"), F.array("fact_id").alias("source_ids"))
+
+
+@query(f"""WITH {FACTS_SQL}, a AS (SELECT *, 'Order ' || split_part(fact_id, '-', 2) || ' came to ' || format('{{:,}}', CAST(floor(value / 100) * 100 AS BIGINT)) || '.' AS claim_text, CAST(floor(value) AS BIGINT) AS w FROM facts),
+t AS (SELECT fact_id AS claim_id, unnest(list_distinct(list_concat({CLAIM_NUMBERS_SQL}, list_transform({CLAIM_NUMBERS_SQL}, lambda x: replace(x, ',', ''))))) AS token, claim, w, assertion_date, period FROM a),
+k AS (SELECT *, list_concat({NUMBERS_SQL.format("claim")}, [CAST(w AS VARCHAR), format('{{:,}}', w), strftime(assertion_date, '%m'), strftime(assertion_date, '%d'), CAST(month(assertion_date) AS VARCHAR), CAST(day(assertion_date) AS VARCHAR)], {NUMBERS_SQL.format("coalesce(period, '')")}) AS ok FROM t)
+SELECT claim_id, token FROM k WHERE NOT list_contains(ok, token) AND NOT list_contains(ok, replace(token, ',', ''))""")
+def q_governance_numeric(spark, sf_dir):
+    return D.numeric_violations(_answers(spark, sf_dir), views.facts(spark, sf_dir))
+
+
+@query(f"""WITH {FACTS_SQL}, h AS (SELECT fact_id AS targets_claim_id, fact_type FROM facts WHERE fact_type IN ('financial_metric', 'strategic_claim')),
+d AS (SELECT fact_id AS targets_claim_id FROM facts WHERE confidence >= CAST(0.95 AS DOUBLE)) SELECT targets_claim_id, CASE fact_type WHEN 'financial_metric' THEN 'restated_value' ELSE 'later_reversal' END AS strategy FROM h ANTI JOIN d USING (targets_claim_id)""")
+def q_undisclosed(spark, sf_dir):
+    f = views.facts(spark, sf_dir).withColumn("strategy", F.try_element_at(F.create_map(*(F.lit(x) for kv in V.STRATEGY_OF_FACT.items() for x in kv)), F.col("fact_type")))
+    h = f.select(F.col("fact_id").alias("targets_claim_id"), "strategy", F.when(F.col("fact_type").isin("financial_metric", "strategic_claim"), "strongly_refuted").otherwise("unrefuted").alias("refutation_verdict"))
+    return D.undisclosed(h, f.filter("confidence >= 0.95D").select(F.col("fact_id").alias("targets_claim_id"), "strategy")).select("targets_claim_id", "strategy")
+
+
+COLLAPSE_SQL = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {COLLAPSE_SQL.format("regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')")} AS q FROM conversations),
+w AS (SELECT *, regexp_extract_all(lower(q), '[a-z'']{{2,}}') AS ws, length(regexp_replace(q, '[^A-Za-z]', '', 'g')) AS letters FROM c),
+r AS (SELECT *, CASE WHEN q = '' THEN 'empty' WHEN len(regexp_extract_all(q, '[^\\s]+')) * CAST(1.3 AS DOUBLE) >= 2001 THEN 'too_long'
+  WHEN letters = 0 OR (len(ws) >= 8 AND len(list_intersect(ws, ['{"', '".join(V.ENGLISH)}'])) < 2) THEN 'not_english'
+  WHEN regexp_matches(q, '(?i){V.COMPETITORS}') AND NOT regexp_matches(q, '(?i){V.COMPANY}') THEN 'competitor' END AS rejection FROM w)
+SELECT conv_id, turn, rejection, rejection IS NULL AS passed, md5(q) AS query_digest FROM r""")
+def q_gate(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("query", views.plain(F.col("text")))
+    return D.gate(c).select("conv_id", "turn", F.when(F.col("normalized_query") == "", "empty").otherwise(F.col("rejection")).alias("rejection"), (F.col("passed") & (F.col("normalized_query") != "")).alias("passed"), F.md5("normalized_query").alias("query_digest"))
+
+
+@query(f"""WITH {FACTS_SQL}, q AS (SELECT fact_id, CASE l WHEN 0 THEN 'What was the figure in ' || coalesce(period, 'the year') || '?' WHEN 1 THEN 'Compare Q3 2021 with FY 2022 and ' || coalesce(period, '2023') ELSE 'Why did the strategy shift over time since 2019?' END AS t FROM (SELECT *, length(asserter || fact_id) % 3 AS l FROM facts)),
+p AS (SELECT *, list_distinct(list_concat(list_transform(regexp_extract_all(t, '(?i)\\bQ[1-4]\\s*20\\d{{2}}\\b'), lambda x: right(x, 4) || 'Q' || x[2]), list_transform(regexp_extract_all(t, '(?i)\\b20\\d{{2}}\\s*Q[1-4]\\b'), lambda x: left(x, 4) || 'Q' || right(x, 1)), list_transform(regexp_extract_all(t, '(?i)\\bFY\\s*20\\d{{2}}\\b'), lambda x: right(x, 4) || 'FY'))) AS named, list_distinct(regexp_extract_all(t, '\\b20\\d{{2}}\\b')) AS ys FROM q),
+n AS (SELECT *, len(named) + len(list_filter(ys, lambda y: NOT list_contains(list_transform(named, lambda x: left(x, 4)), y))) AS n FROM p),
+f AS (SELECT *, regexp_matches(t, '(?i){V.EVOLUTION}') AS g, regexp_matches(t, '(?i){V.COMPARISON}') AS c, regexp_matches(t, '(?i){V.NUMERICAL}') AND regexp_matches(t, '(?i){V.NARRATIVE}') AS m FROM n)
+SELECT fact_id, CAST(n AS INT) AS n_periods, CASE WHEN n >= 3 OR (g AND (m OR n >= 2)) THEN 'complex' WHEN n >= 2 OR c OR g THEN 'standard' ELSE 'simple' END AS tier, 'q_' || left(sha1(t), 10) AS query_id FROM f""")
+def q_tier(spark, sf_dir):
+    f = views.facts(spark, sf_dir)
+    kind = F.length(F.concat("asserter", "fact_id")) % 3
+    t = F.when(kind == 0, F.concat(F.lit("What was the figure in "), F.coalesce("period", F.lit("the year")), F.lit("?"))).when(kind == 1, F.concat(F.lit("Compare Q3 2021 with FY 2022 and "), F.coalesce("period", F.lit("2023")))).otherwise("Why did the strategy shift over time since 2019?")
+    return f.select("fact_id", t.alias("t")).select("fact_id", D.n_periods(F.col("t")).alias("n_periods"), D.complexity_tier(F.col("t")).alias("tier"), D.query_id(F.col("t")).alias("query_id"))
