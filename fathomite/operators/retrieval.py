@@ -58,7 +58,7 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
         raise ValueError("a batch has 10,000 query vectors at most; run the batches one after another")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     batch = vectors.sparkSession.createDataFrame([(r["slot_id"], r["q"]) for r in asked], "slot_id string, q array<double>").select(F.collect_list(F.struct("slot_id", "q")).alias("_batch"))
-    rows = vectors.withColumn("_v", F.col("vector").cast("array<double>")).join(F.broadcast(batch))
+    rows = vectors.filter(F.col("vector").isNotNull()).withColumn("_v", F.col("vector").cast("array<double>")).join(F.broadcast(batch))
     rows = rows.select("id", "_v", F.sqrt(dot(F.col("_v"), F.col("_v"))).alias("_n"), F.explode("_batch").alias("_q"))
     norm = F.sqrt(dot(F.col("_q.q"), F.col("_q.q"))) * F.col("_n")
     return rows.select(F.col("_q.slot_id").alias("slot_id"), "id", F.round(F.when(norm > 0, dot(F.col("_v"), F.col("_q.q")) / norm).otherwise(F.lit(0.0)), 6).alias("score"))

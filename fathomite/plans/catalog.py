@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import period as P, text as T, values as V, xbrl as X
 from ..operators import chunking, decisions as D, facts as FA, retrieval as R
-from . import views
+from . import engine, views
+from ..sources import files
 from .views import FACTS_SQL, PASSAGES_SQL, QUESTIONS_SQL, VERDICTS_SQL, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,3 +439,34 @@ def q_tier(spark, sf_dir):
     kind = F.length(F.concat("asserter", "fact_id")) % 3
     t = F.when(kind == 0, F.concat(F.lit("What was the figure in "), F.coalesce("period", F.lit("the year")), F.lit("?"))).when(kind == 1, F.concat(F.lit("Compare Q3 2021 with FY 2022 and "), F.coalesce("period", F.lit("2023")))).otherwise("Why did the strategy shift over time since 2019?")
     return f.select("fact_id", t.alias("t")).select("fact_id", D.n_periods(F.col("t")).alias("n_periods"), D.complexity_tier(F.col("t")).alias("tier"), D.query_id(F.col("t")).alias("query_id"))
+
+
+# --- Rows only: iterative or parsed outside SQL ------------------------------------------------------------------------------
+def _corpus(spark, sf_dir):
+    """All documents as passages, with the vector of the same id where there is one."""
+    none = F.lit(None)
+    docs = views.passages(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", "vector"), "id", "left")
+    return docs.select("id", "seq", F.lit("chunk").alias("layer"), "text", "vector", none.cast("string").alias("period"), none.cast("string").alias("source_document"), none.cast("string").alias("concept_tag"), none.cast("double").alias("value"))
+
+
+@query()
+def q_pipeline_trace(spark, sf_dir):
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("run_id"), views.plain(F.col("text")).alias("query"))
+    vectors = _query_vectors(spark, sf_dir).select(F.concat(F.col("slot_id").cast("string"), F.lit("::s1")).alias("slot_id"), "vector")
+    traces = engine.run(_corpus(spark, sf_dir), questions.withColumn("query", F.concat(F.lit("What was the trend of this and how is it in "), "query")), vectors)
+    return traces.select("run_id", "n", "covered", "contradictions", "exhausted", "level", "cause", "n_supported", "refutation_due", F.to_json("slots").alias("slots"))
+
+
+@query()
+def q_xbrl_parse(spark, sf_dir):
+    """Line items written as tagged instances, one for each order, parsed back and made into facts."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tag = F.element_at(F.array(*map(F.lit, ("us-gaap:Revenues", "us-gaap:Assets", "us-gaap:Unknown", "us-gaap:NetIncomeLoss"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    cid = F.concat_ws("-", F.lit("c"), "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
+    end = F.date_add(F.to_date("o_orderdate"), 90)
+    when = F.when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("<instant>"), end.cast("string"), F.lit("</instant>"))).otherwise(F.concat(F.lit("<startDate>"), F.to_date("o_orderdate").cast("string"), F.lit("</startDate><endDate>"), end.cast("string"), F.lit("</endDate>")))
+    item = F.concat(F.lit('<context id="'), cid, F.lit('"><period>'), when, F.lit("</period></context><"), tag, F.lit(' contextRef="'), cid, F.lit('" unitRef="u" decimals="-3">'), F.format_string("%.2f", F.col("l_extendedprice") * 1e6), F.lit("</"), tag, F.lit(">"))
+    head = '<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:us-gaap="http://fasb.org/us-gaap/2023"><unit id="u"><measure>iso4217:USD</measure></unit>'
+    docs = rows.groupBy(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("document_id"), F.to_date("o_orderdate").alias("filing_date")).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</xbrl>")).alias("xml"))
+    made = files.parse_xbrl(docs).join(docs.select("document_id", "filing_date"), "document_id")
+    return FA.xbrl_facts(made, company="Example").select("fact_id", "claim", "verbatim_anchor", "period", "value", "unit", "concept_tag", "assertion_date")
