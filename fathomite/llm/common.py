@@ -1,64 +1,17 @@
-"""Shared plumbing: the cluster's shared folder, batch limits, label folds and bounded samples."""
+"""Shared plumbing: batch limits, words, label folds and bounded samples."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..storage import materialize, shared_dir  # noqa: F401
+
 #: A word, wherever a contract says "word": no space and none of tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a local folder made; it goes at exit.
-    """
-    global _own_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="fathomite-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return "file://" + _own_dir
-
-
-def materialize(df: DataFrame, tag: str, codec: str = "zstd", bucket_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table.
-
-    With ``bucket_by`` it is bucketed by that column into as many buckets as a shuffle has partitions, so that joins
-    on the column read it where it lies.
-
-    This cuts lineage: a lost executor costs a re-read, not a re-run of the plan. The shuffle files
-    of the write are released when it ends, so that they do not add up with those of later steps.
-    """
-    spark = df.sparkSession
-    name = f"fathomite_{tag}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    before = spark.conf.get(_FILE_CLEANUP, "false")
-    spark.conf.set(_FILE_CLEANUP, "true")
-    try:
-        write = df.write.option("compression", codec)
-        if bucket_by is None:
-            write.parquet(path)
-        else:
-            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            write.bucketBy(buckets, bucket_by).option("path", path).format("parquet").saveAsTable(name)
-            return spark.table(name)
-    finally:
-        spark.conf.set(_FILE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Limit Arrow batches by rows and bytes, so that long texts do not fill a Python worker."""
