@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import values as V
@@ -65,7 +66,6 @@ def normalize_text(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """Unicode canonical composition (a vectorised UDF: Spark has no built-in)."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
