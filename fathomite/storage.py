@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,29 +29,37 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd", bucket_by: str | None = None) -> DataFrame:
+@contextmanager
+def released(spark: SparkSession):
+    """Inside, the shuffle files of an action go when it ends, so that they do not add up with those of later steps."""
+    before = spark.conf.get(_FILE_CLEANUP, "false")
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FILE_CLEANUP, before)
+
+
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", bucket_by: str | None = None, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
     With ``bucket_by`` it is bucketed by that column into as many buckets as a shuffle has partitions, so that joins
-    on the column read it where it lies.
+    on the column read it where it lies. ``files`` limits the number of files, for a table known to be small: each file
+    costs a local file system several short-lived processes, and a round of a loop should not write one per partition.
 
     This cuts lineage: a lost executor costs a re-read, not a re-run of the plan. The shuffle files of the write are
-    released when it ends, so that they do not add up with those of later steps. The tables stay in the folder, for
-    whoever holds the DataFrame, until the folder's owner clears it, as with checkpoints.
+    released. The tables stay in the folder, for whoever holds the DataFrame, until the folder's owner clears it, as
+    with checkpoints.
     """
     spark = df.sparkSession
     name = f"fathomite_{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    before = spark.conf.get(_FILE_CLEANUP, "false")
-    spark.conf.set(_FILE_CLEANUP, "true")
-    try:
-        write = df.write.option("compression", codec)
+    with released(spark):
+        write = (df if files is None else df.coalesce(files)).write.option("compression", codec)
         if bucket_by is None:
             write.parquet(path)
         else:
             buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
             write.bucketBy(buckets, bucket_by).option("path", path).format("parquet").saveAsTable(name)
             return spark.table(name)
-    finally:
-        spark.conf.set(_FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
