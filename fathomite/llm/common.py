@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..storage import materialize, shared_dir  # noqa: F401
+from ..storage import materialize, released, shared_dir  # noqa: F401
 
 #: A word, wherever a contract says "word": no space and none of tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

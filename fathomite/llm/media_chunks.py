@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, map_rows, materialize
+from .common import bounded_sample, map_rows, materialize, released
 
 ROW = 192
 RATE = 8000
@@ -160,8 +160,11 @@ def rebuild(lists: DataFrame, store: DataFrame, dictionary: bytes = b"", hot_ref
     A chunk that is missing or does not have its digest, or a file that does not have its name, ends the job.
     """
     refs = lists.select("media", F.posexplode("chunks").alias("pos", "digest")).hint("merge")
-    hot = materialize(refs.groupBy("digest").count().filter(F.col("count") > hot_refs).select("digest"), "hot")
-    if hot.limit(1).count():
+    hot = refs.groupBy("digest").count().filter(F.col("count") > hot_refs).select("digest")
+    with released(lists.sparkSession):
+        any_hot = not hot.isEmpty()
+    if any_hot:
+        hot = materialize(hot, "hot")
         salted = refs.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("media", "pos"), F.lit(SALTS)).cast("int"))
         copies = store.join(hot, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = refs.join(hot, "digest", "left_anti").join(store, "digest", "left")

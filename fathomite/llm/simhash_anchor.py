@@ -27,6 +27,8 @@ from .common import map_rows, materialize
 #: Generator polynomial of the binary Golay code [23, 12, 7], a published constant.
 GOLAY = 0b110001110101
 SEED = 42
+#: Edges in a file of a contraction round, which never has more edges than links and nodes.
+EDGES_PER_FILE = 500_000
 
 
 def text_fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -154,7 +156,9 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
 def components(pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, root) for every node of ``pairs``, its first two columns; root is the least node of the component."""
     a, b = pairs.columns[:2]
-    edges = materialize(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    known = pairs.count()
+    files = 1 + known // EDGES_PER_FILE
+    edges = materialize(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges", files=files)
     state = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -162,7 +166,7 @@ def components(pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", files=files)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 40)), F.lit(0))).first()
         if now == state:
             break
