@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import period as P, text as T, values as V
+from ..storage import materialize
 
 
-def term_counts(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl): counts inside each row, without a shuffle, before anything is exploded."""
+def term_counts(corpus: DataFrame, terms: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf, dl): the postings of all terms, or of the given ones only, which are filtered before the shuffle."""
     tokens = T.tokenize(F.col(text_col))
     rows = corpus.select(id_col, tokens.alias("_t")).select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -24,9 +27,15 @@ def corpus_figures(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return corpus.select(F.size(T.tokenize(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def inverse_frequencies(counts: DataFrame, n: int, epsilon: float = V.BM25_EPSILON) -> DataFrame:
-    """(term, df, idf): Okapi's, with those below zero raised to ``epsilon`` times the vocabulary's mean."""
-    raw = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def inverse_frequencies(corpus: DataFrame, epsilon: float = V.BM25_EPSILON, text_col: str = "text") -> DataFrame:
+    """(term, df, idf): Okapi's, with those below zero raised to ``epsilon`` times the vocabulary's mean.
+
+    A document's distinct terms are unrolled and counted by term with a partial count on each task; postings are not
+    shuffled for it.
+    """
+    n = corpus.agg(F.count("*").alias("n"))
+    df = corpus.select(F.explode(F.array_distinct(T.tokenize(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -37,14 +46,14 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = V.BM25_K1, b:
     A term that a query repeats counts as often. Statistics are of the whole corpus. Queries are a batch of questions
     against all rows: the equi-join on the term meets only matching postings.
     """
-    counts = term_counts(corpus)
-    n, avgdl = corpus_figures(corpus).first()
     asked = queries.select("slot_id", F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy("slot_id", "term").agg(F.count("*").alias("qtf"))
-    idf = inverse_frequencies(counts, n).join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = asked.join(idf, "term")
+    terms = asked.select("term").distinct()
+    idf = materialize(inverse_frequencies(corpus).join(terms, "term", "left_semi"), "idf")
+    avgdl = corpus_figures(corpus).first()["avgdl"]
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(float(avgdl or 1))))
-    return counts.join(weighed, "term").groupBy("slot_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    weighed = asked.join(idf, "term")
+    return term_counts(corpus, idf.select("term")).join(weighed, "term").groupBy("slot_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:

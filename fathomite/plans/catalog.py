@@ -73,9 +73,7 @@ def q_tokenize(spark, sf_dir):
 
 @query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def q_doc_freq(spark, sf_dir):
-    counts = R.term_counts(views.passages(spark, sf_dir))
-    n = R.corpus_figures(views.passages(spark, sf_dir)).first()["n"]
-    return R.inverse_frequencies(counts, n).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.inverse_frequencies(views.passages(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {PASSAGES_SQL} SELECT count(*) AS n, round(avg(len({TOKEN_SQL.format('text')})), 6) AS avgdl FROM passages")
