@@ -34,6 +34,7 @@ STALL_DELTA = 0.03
 STRONG_CONFIDENCE, PROSE_CONFIDENCE = 0.80, 0.5
 MAX_TOKENS, TOKENS_PER_WORD = 2000, 1.3
 FIRST_YEAR, LAST_YEAR = 2016, 2026
+RELEASE_DAY = 18
 
 # --- Fixed values: sentence and chunk rules ----------------------------------------------------------------------------
 ABBREVIATIONS = ("Inc", "Co", "Corp", "Ltd", "Mr", "Mrs", "Ms", "Dr", "Jr", "Sr", "St", "vs", "etc", "i.e", "e.g", "U.S", "U.K", "p.m", "a.m", "No", "Cf", "Ave")

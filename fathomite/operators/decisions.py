@@ -167,3 +167,69 @@ def undisclosed(hypotheses: DataFrame, disclosed: DataFrame) -> DataFrame:
 
 def wrong_badges(answers: DataFrame) -> DataFrame:
     return answers.filter(~F.col("adversarially_probed").eqNullSafe(F.col("expected_adversarially_probed")))
+
+
+def disclosures(verdicts: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """(run_id, kind, subject, text): gaps of slots that ended without cover, contradictions, and refuted claims.
+
+    ``verdicts``: (run_id, slot_id, verdict, gap_description, contradictions array<string>); ``hypotheses``: (run_id,
+    targets_claim_id, strategy, refutation_verdict).
+    """
+    gaps = verdicts.filter("verdict IN ('gap', 'exhausted')").select("run_id", F.lit("gap").alias("kind"), F.col("slot_id").alias("subject"), F.coalesce("gap_description", F.lit("No supporting evidence was found.")).alias("text"))
+    clashes = verdicts.select("run_id", F.lit("contradiction").alias("kind"), F.col("slot_id").alias("subject"), F.explode("contradictions").alias("text"))
+    refuted = hypotheses.filter("refutation_verdict <> 'unrefuted'").select("run_id", F.lit("refutation").alias("kind"), F.col("targets_claim_id").alias("subject"), F.concat_ws(" ", "strategy", "refutation_verdict").alias("text"))
+    return gaps.unionByName(clashes).unionByName(refuted)
+
+
+def final_state(runs: DataFrame) -> DataFrame:
+    """``runs`` with final_level, final_cause and answer_allowed.
+
+    ``runs``: (level, cause, n_facts, generator_failed, n_numeric, n_undisclosed_after_retry, unresolved). A number that
+    no cited fact has stops the answer; a disclosure that is still missing after the retry is added and lowers a normal
+    answer; so does a refutation that the loop could not resolve.
+    """
+    c = F.col
+    halted = c("level").isin("CLARIFICATION_REQUEST", "HARD_HALT")
+    level = (
+        F.when(halted, c("level")).when(c("n_facts") == 0, "CLARIFICATION_REQUEST").when(c("generator_failed") | (c("n_numeric") > 0), "HARD_HALT")
+        .when((c("level") == "NORMAL") & ((c("n_undisclosed_after_retry") > 0) | c("unresolved")), "PARTIAL").otherwise(c("level"))
+    )
+    cause = (
+        F.when(halted, c("cause")).when(c("n_facts") == 0, "slot_exhaustion").when(c("generator_failed"), "generator_unavailable").when(c("n_numeric") > 0, "constitutional_violation")
+        .when((c("level") == "NORMAL") & c("unresolved"), "refutation_unresolved").when((c("level") == "NORMAL") & (c("n_undisclosed_after_retry") > 0), "governance_failure").otherwise(c("cause"))
+    )
+    return runs.withColumns({"final_level": level, "final_cause": cause, "answer_allowed": level.isin("NORMAL", "PARTIAL")})
+
+
+def additional_facts(found: DataFrame, verified: DataFrame) -> DataFrame:
+    """Facts that a refutation loop found beyond those already verified, per run; a loop is resolved iff there is one."""
+    return found.join(verified.select("run_id", "fact_id"), ["run_id", "fact_id"], "left_anti").dropDuplicates(["run_id", "fact_id"])
+
+
+def ledger(retrieved: DataFrame, supported: DataFrame, run: str = "run_id") -> DataFrame:
+    """One snapshot row per run: slot to retrieved ids and slot to supported ids, in first-seen order."""
+
+    def folded(rows: DataFrame, name: str) -> DataFrame:
+        firsts = rows.groupBy(run, "slot_id", "id").agg(F.min("iteration").alias("_at"))
+        lists = firsts.groupBy(run, "slot_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("_ids"))
+        return lists.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot_id", "_ids")))).alias(name))
+
+    return folded(retrieved, "retrieved_ids").join(folded(supported, "supported_candidates"), run, "full_outer")
+
+
+def valid_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """Claims with only known sources; a claim that cited unknown ones alone is refused, one that cited none is kept."""
+    known = claims.select("claim_id", F.explode("source_ids").alias("fact_id")).join(facts.select("fact_id").distinct(), "fact_id").groupBy("claim_id").agg(F.collect_set("fact_id").alias("_known"))
+    rows = claims.join(known, "claim_id", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
+    kept = rows.filter((F.size("source_ids") == 0) | (F.size("_known") > 0))
+    return kept.withColumn("source_ids", F.array_intersect("source_ids", "_known")).drop("_known")
+
+
+def valid_hypotheses(hypotheses: DataFrame, verified: DataFrame, tier: str = "simple") -> DataFrame:
+    """(run_id, fault) per run: null where the hypotheses have the tier's number, known and distinct targets and the
+    strategies of their targets' types. ``verified``: (run_id, fact_id, fact_type)."""
+    table = F.create_map(*(F.lit(x) for kv in V.STRATEGY_OF_FACT.items() for x in kv))
+    rows = hypotheses.join(verified.select("run_id", F.col("fact_id").alias("targets_claim_id"), "fact_type"), ["run_id", "targets_claim_id"], "left")
+    per = rows.groupBy("run_id").agg(F.count("*").alias("n"), F.countDistinct("targets_claim_id").alias("d"), F.bool_or(F.col("fact_type").isNull()).alias("odd"), F.bool_or(F.try_element_at(table, F.col("fact_type")) != F.col("strategy")).alias("off"))
+    fault = F.when(F.col("n") != V.HYPOTHESES[tier], "count").when(F.col("odd"), "unknown_target").when(F.col("d") < F.col("n"), "repeated_target").when(F.col("off"), "strategy")
+    return per.select("run_id", fault.alias("fault"))

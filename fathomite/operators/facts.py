@@ -152,3 +152,40 @@ def nearest_rank(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]
     placed = rows.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
     pick = lambda p: F.max(F.when(F.col("_i") == F.bround((F.col("_n") - 1) * p).cast("int"), F.col(value))).alias(f"p{round(p * 100)}")
     return placed.groupBy(by).agg(*map(pick, shares))
+
+
+def index_projection(facts: DataFrame) -> DataFrame:
+    """What an index keeps of a fact besides its claim, with the region that its id tells of."""
+    return facts.select("fact_id", F.col("claim").alias("text"), "source_document", "fact_type", "period", "concept_tag", "assertion_date", "confidence", X.region_of(F.col("fact_id")).alias("region"))
+
+
+def coverage_matrix(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """(document_id, concept, n) for every document and retained concept, 0 where a document has no such fact.
+
+    The concepts are the fixed table of labels, unrolled beside each document; no documents are paired.
+    """
+    names = F.array(*map(F.lit, V.CONCEPTS))
+    cells = documents.select("document_id", F.explode(names).alias("concept"))
+    counted = facts.groupBy(F.col("source_document").alias("document_id"), F.col("concept_tag").alias("concept")).agg(F.count("*").alias("n"))
+    return cells.join(counted, ["document_id", "concept"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def release_date(period_end: Column) -> Column:
+    """When a quarter's results come out, where no letter tells: on the 18th of the month after its end."""
+    return F.date_add(F.trunc(F.add_months(period_end, 1), "month"), V.RELEASE_DAY - 1)
+
+
+def assertion_dates(transcripts: DataFrame, letters: DataFrame) -> DataFrame:
+    """Transcripts (document_id, fiscal_period, period_end) with the filing date of the period's letter, or the usual one."""
+    dated = letters.groupBy("fiscal_period").agg(F.max("filing_date").alias("_d"))
+    return transcripts.join(dated, "fiscal_period", "left").withColumn("assertion_date", F.coalesce("_d", release_date(F.col("period_end")))).drop("_d")
+
+
+def anchor_check(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fact_id, status): whether a fact's anchor stands in its document's text; ``doc_text_missing`` without one."""
+    rows = facts.join(texts.select(F.col("document_id").alias("source_document"), F.col("text").alias("_text")), "source_document", "left")
+    bare = F.regexp_replace("verbatim_anchor", r"[$()]", "")
+    forms = F.array(F.col("verbatim_anchor"), F.replace("verbatim_anchor", F.lit("$"), F.lit("")), bare, T.normalize_text(F.col("verbatim_anchor")))
+    inside = F.exists(forms, lambda v: F.contains("_text", v) | F.contains("_flat", v) | F.contains("_plain", v))
+    rows = rows.withColumns({"_flat": T.collapse(F.col("_text")), "_plain": T.normalize_text(F.col("_text"))})
+    return rows.select("fact_id", F.when(F.col("_text").isNull(), "doc_text_missing").when(inside, "found").otherwise("missing").alias("status"))

@@ -61,3 +61,28 @@ def test_plan_rules(spark):
     assert [r[0] for r in rows.select(D.plan_fault(F.col("slots"), F.col("tier"))).collect()] == ["over_budget", "no_slots"]
     fixed = rows.select(D.repair_slots(F.col("slots"))).first()[0]
     assert [(s.target_layer, s.period_filter) for s in fixed] == [("both", None), ("chunk_store", "FY2024"), ("both", None)]
+
+
+def test_final_state(spark):
+    rows = [
+        ("NORMAL", "none", 1, False, 0, 0, False, "NORMAL", "none"), ("NORMAL", "none", 0, False, 0, 0, False, "CLARIFICATION_REQUEST", "slot_exhaustion"), ("PARTIAL", "none", 1, True, 0, 0, False, "HARD_HALT", "generator_unavailable"),
+        ("NORMAL", "none", 1, False, 2, 0, False, "HARD_HALT", "constitutional_violation"), ("NORMAL", "none", 1, False, 0, 1, False, "PARTIAL", "governance_failure"), ("PARTIAL", "slot_exhaustion", 1, False, 0, 1, True, "PARTIAL", "slot_exhaustion"),
+        ("NORMAL", "none", 1, False, 0, 0, True, "PARTIAL", "refutation_unresolved"), ("HARD_HALT", "input_failure", 0, False, 0, 0, False, "HARD_HALT", "input_failure"),
+    ]
+    table = spark.createDataFrame(rows, "level string, cause string, n_facts int, generator_failed boolean, n_numeric int, n_undisclosed_after_retry int, unresolved boolean, a string, b string")
+    assert all((r.final_level, r.final_cause) == (r.a, r.b) and r.answer_allowed == (r.a in ("NORMAL", "PARTIAL")) for r in D.final_state(table).collect())
+
+
+def test_claims_hypotheses_ledger_and_disclosures(spark):
+    facts = spark.createDataFrame([("r", "f1", "financial_metric"), ("r", "f2", "risk_disclosure")], "run_id string, fact_id string, fact_type string")
+    claims = spark.createDataFrame([("a", ["f1", "zz"]), ("b", ["zz"]), ("c", [])], "claim_id string, source_ids array<string>")
+    assert {(r.claim_id, tuple(r.source_ids)) for r in D.valid_claims(claims, facts).collect()} == {("a", ("f1",)), ("c", ())}
+    hyp = lambda *rows: D.valid_hypotheses(spark.createDataFrame([("r", *r) for r in rows], "run_id string, targets_claim_id string, strategy string"), facts, "standard").first().fault
+    assert hyp(("f1", "restated_value"), ("f2", "materialization")) is None
+    assert [hyp(("f1", "restated_value")), hyp(("f1", "restated_value"), ("zz", "x")), hyp(("f1", "restated_value"), ("f1", "restated_value")), hyp(("f1", "x"), ("f2", "materialization"))] == ["count", "unknown_target", "repeated_target", "strategy"]
+    seen = spark.createDataFrame([("r", "s", "b", 1), ("r", "s", "a", 2), ("r", "s", "b", 2)], "run_id string, slot_id string, id string, iteration int")
+    assert D.ledger(seen, seen.filter("id = 'a'")).first().asDict() == {"run_id": "r", "retrieved_ids": {"s": ["b", "a"]}, "supported_candidates": {"s": ["a"]}}
+    verdicts = spark.createDataFrame([("r", "s1", "exhausted", None, []), ("r", "s2", "contradiction", None, ["x", "y"]), ("r", "s3", "covered", None, [])], "run_id string, slot_id string, verdict string, gap_description string, contradictions array<string>")
+    refuted = spark.createDataFrame([("r", "f1", "restated_value", "weakly_refuted"), ("r", "f2", "x", "unrefuted")], "run_id string, targets_claim_id string, strategy string, refutation_verdict string")
+    assert sorted((r.kind, r.subject) for r in D.disclosures(verdicts, refuted).collect()) == [("contradiction", "s2"), ("contradiction", "s2"), ("gap", "s1"), ("refutation", "f1")]
+    assert [r.fact_id for r in D.additional_facts(facts.union(facts), facts.filter("fact_id = 'f1'")).collect()] == ["f2"]

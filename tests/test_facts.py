@@ -96,3 +96,16 @@ def test_percentiles_and_files(spark, tmp_path):
     (tmp_path / "doc" / "mda.txt").write_text("body")
     got = {(r.document_id, r.section, r.text) for r in files.read_sections(spark, str(tmp_path / "doc")).collect()}
     assert got == {("doc", "mda", "body"), ("doc", "prepared_remarks", "hi"), ("doc", "qa", "yes")}
+
+
+def test_validation_reports(spark):
+    table = spark.createDataFrame([fact("f1", anchor="$(1,234)"), fact("f2", anchor="not there"), fact("f3", doc="none"), fact("f4", concept="us-gaap:Revenues")], COLUMNS)
+    texts = spark.createDataFrame([("d", "The loss was 1,234 and x")], "document_id string, text string")
+    assert {r.fact_id: r.status for r in FA.anchor_check(table, texts).collect()} == {"f1": "found", "f2": "missing", "f3": "doc_text_missing", "f4": "found"}
+    cells = FA.coverage_matrix(texts, table)
+    assert cells.count() == 36 and {(r.concept, r.n) for r in cells.filter("n > 0").collect()} == {("us-gaap:Assets", 2), ("us-gaap:Revenues", 1)}
+    ends = spark.createDataFrame([("t1", "2023Q4", DAY(2023, 12, 31)), ("t2", "2023Q3", DAY(2023, 9, 30)), ("t3", "2023Q2", DAY(2023, 6, 30))], "document_id string, fiscal_period string, period_end date")
+    letters = spark.createDataFrame([("2023Q2", DAY(2023, 7, 19))], "fiscal_period string, filing_date date")
+    got = {r.document_id: r.assertion_date for r in FA.assertion_dates(ends, letters).collect()}
+    assert got == {"t1": DAY(2024, 1, 18), "t2": DAY(2023, 10, 18), "t3": DAY(2023, 7, 19)}
+    assert FA.index_projection(table.withColumn("fact_id", F.lit("x-EMEA"))).first().region == "EMEA"
