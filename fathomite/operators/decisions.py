@@ -175,7 +175,7 @@ def disclosures(verdicts: DataFrame, hypotheses: DataFrame) -> DataFrame:
     ``verdicts``: (run_id, slot_id, verdict, gap_description, contradictions array<string>); ``hypotheses``: (run_id,
     targets_claim_id, strategy, refutation_verdict).
     """
-    gaps = verdicts.filter("verdict IN ('gap', 'exhausted')").select("run_id", F.lit("gap").alias("kind"), F.col("slot_id").alias("subject"), F.coalesce("gap_description", F.lit("No supporting evidence was found.")).alias("text"))
+    gaps = verdicts.filter("verdict IN ('gap', 'exhausted')").select("run_id", F.lit("gap").alias("kind"), F.col("slot_id").alias("subject"), F.coalesce("gap_description", F.concat(F.lit("slot "), "slot_id", F.lit(" did not reach the coverage threshold"))).alias("text"))
     clashes = verdicts.select("run_id", F.lit("contradiction").alias("kind"), F.col("slot_id").alias("subject"), F.explode("contradictions").alias("text"))
     refuted = hypotheses.filter("refutation_verdict <> 'unrefuted'").select("run_id", F.lit("refutation").alias("kind"), F.col("targets_claim_id").alias("subject"), F.concat_ws(" ", "strategy", "refutation_verdict").alias("text"))
     return gaps.unionByName(clashes).unionByName(refuted)
