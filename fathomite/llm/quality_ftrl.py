@@ -25,7 +25,7 @@ TRAIN_ROWS, EPOCHS = 8000, 16
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 1.0, 0.0
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(64 - BITS)
