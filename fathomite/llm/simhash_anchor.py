@@ -195,6 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.groupBy("root").agg(F.min("least").alias("least_of_all"))
     joined = linked.join(named, "root").join(degree, "fp").select("fp", "least_of_all", "n_links")
     classes = classes.join(joined, "fp", "left").select("fp", F.coalesce("least_of_all", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Written first, so that both sides of the last join are plain exchanges and a fingerprint of many copies is split.
+    classes = materialize(classes, "components")
     return own.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
