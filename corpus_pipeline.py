@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomite.llm import bpe_bitmap, mixing, quality_ftrl, quality_rules, simhash_anchor
+from fathomite.llm import bpe_bitmap, mixing, near_dedup, quality_ftrl, quality_rules
 from fathomite.llm.common import materialize
 from fathomite.llm.queries import RANKS
 
@@ -23,8 +23,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id."""
-    return simhash_anchor.keep_one(docs)
+    """One document of each group of near-duplicates, the one with the least id: 5-word shingles, similarity 0.8."""
+    return near_dedup.keep_one_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,16 +31,19 @@ SEED = 42
 EDGES_PER_FILE = 500_000
 
 
-def text_fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of one text over word shingles, repeats included; 0 where there is no word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash of each word shingle of a text, repeats included; all words are one shingle where there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashed = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+
+
+def fingerprint_of(hashed: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashed), 65536):
         part = hashed[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -48,6 +51,11 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashed), bitorder="little").tobytes(), "little")
 
 
+def text_fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of one text over word shingles, repeats included; 0 where there is no word."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 class BlockCode:
     """A perfect linear code on ``bits`` bits: for each syndrome, the error patterns up to radius + threshold.
 
@@ -209,3 +217,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     keep = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with _row, the id beside a hash of the text: ids may repeat with different texts."""
+    return docs.withColumn("_row", F.struct(F.col(id_col), F.xxhash64(text_col).alias("_text_hash")))
+
+
+def one_of_each(rows: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``with_row_key`` whose _row is the least of its group in ``grouped`` (_row, group), once each, and
+    those with a null id."""
+    keep = grouped.groupBy("group").agg(F.min("_row").alias("_row")).select("_row").distinct()
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(rows.filter(F.col(id_col).isNull()))
