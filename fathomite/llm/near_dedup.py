@@ -115,19 +115,22 @@ def similar_links(docs: DataFrame, own: DataFrame, row_col: str, text_col: str,
     prints = materialize(classes.groupBy("fp").agg(F.min("key").alias("key")), "prints")
     near = links(prints.select("fp")).join(prints.withColumnRenamed("key", "a"), "fp").join(prints.select(F.col("fp").alias("other"), F.col("key").alias("b")), "other")
     first = materialize(star.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "candidates")
-    asked = under.select("key").unionByName(first.select(F.col("a").alias("key"))).unionByName(first.select(F.col("b").alias("key"))).distinct()
-    rows = classes.join(asked, "key").select("key", row_col)
-    texts = materialize(docs.select(row_col, text_col).dropDuplicates([row_col]).join(rows, row_col).select("key", text_col), "texts")
-    linked = materialize(decided(first, texts, text_col, shingle), "links")
+    def checked(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        rows = classes.select("key", row_col).join(asked, "key")
+        texts = materialize(docs.select(row_col, text_col).join(rows, row_col).select("key", text_col).dropDuplicates(["key"]), "texts")
+        return materialize(decided(pairs, texts, text_col, shingle), "links")
+
+    linked = checked(first)
 
     roots = components(linked).withColumnRenamed("node", "key")
-    rooted = materialize(under.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    rooted = under.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r < _s").select("token")
     left = materialize(rooted.filter("key > head").join(mixed.hint("merge"), "token"), "mixed")
     a, b = (left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root"))) for x in "ab")
     apart = (F.col("root_a") != F.col("root_b")) & (F.col("key_a") < F.col("key_b")) & _may_match(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
     second = a.join(b.hint("merge"), "token").filter(apart).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return linked.unionByName(materialize(decided(materialize(second, "candidates"), texts, text_col, shingle), "links"))
+    return linked.unionByName(checked(materialize(second, "candidates")))
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
