@@ -130,11 +130,15 @@ def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memo
     """One retrieval for every slot: both channels with filter, top-k, second filter and memory, then fusion.
 
     ``corpus`` has (id, seq, layer, text, vector, period, source_document); ``slots`` (slot_id, query, period_filter).
+    Where ``slots`` has a complexity_tier, each slot's own tier decides how many rows it gets, else ``tier`` does.
     """
-    k, n = V.CHANNEL_K[tier], V.FUSED_N[tier]
+    own = slots if "complexity_tier" in slots.columns else slots.withColumn("complexity_tier", F.lit(tier))
+    limits = F.broadcast(own.select("slot_id", by_tier(V.CHANNEL_K).alias("_k"), by_tier(V.FUSED_N).alias("_n")))
+    within = lambda rows, rank, most: rows.join(limits, "slot_id").filter(F.col(rank) <= F.col(most)).drop("_k", "_n")
+    k, n = max(V.CHANNEL_K.values()), max(V.FUSED_N.values())
     channels = []
     for scores in (lambda c: cosine_scores(c, query_vectors), lambda c: bm25_scores(c, slots).filter("score > 0")):
-        ranked = [top_k(eligible(scores(part := corpus.filter(F.col("layer") == layer)), part, slots, layer, prefix), k) for layer in ("fact", "chunk")]
+        ranked = [within(top_k(eligible(scores(part := corpus.filter(F.col("layer") == layer)), part, slots, layer, prefix), k), "rank", "_k") for layer in ("fact", "chunk")]
         kept = after_filter(concatenate_layers(*ranked), prefix)
         channels.append(exclude(kept, memory) if memory is not None else kept.withColumn("rank", F.row_number().over(Window.partitionBy("slot_id").orderBy("rank"))))
-    return fuse(channels[0], channels[1], n)
+    return within(fuse(channels[0], channels[1], n), "fused_rank", "_n")
