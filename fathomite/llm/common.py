@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,10 +14,25 @@ from ..storage import materialize, released, shared_dir  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Limit Arrow batches by rows and bytes, so that long texts do not fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by rows and bytes, so that long texts do not fill a Python worker.
+
+    Spark reads these settings when a plan is made physical, long after ``map_rows`` has returned, so they cannot be put
+    back here. They are only ever lowered: a session that asks for smaller batches keeps them.
+    """
+    for name, most in BATCH_SETTINGS.items():
+        now = spark.conf.get(name, None)
+        if now is None or _amount(now) <= 0 or _amount(now) > _amount(most):
+            spark.conf.set(name, most)
+
+
+def _amount(setting: str) -> int:
+    """A number of rows or bytes, with Spark's suffixes."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)b?\s*", setting.lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else 0
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -55,12 +71,18 @@ def words_of(text: Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
-    """At most about ``limit`` rows, the ones whose key hashes lowest: the same rows in every run.
+    """The rows of the ``limit`` keys whose hash is lowest: the same rows in every run, whatever their order.
 
-    Only the hashes are ranked (a top-k of longs); the rows themselves are then filtered by one bound.
-    Ties on the bound, i.e. repeated keys, are kept. Rows with a null key are left out.
+    Only hashes are ranked, and only the lowest few: a first bound on them, guessed from the number of rows, leaves about
+    four times as many as needed, and is raised where keys repeat so much that too few are left. Repeats of a chosen key
+    are all returned, for the caller to make one row of. Rows with a null key are left out.
     """
     h = F.xxhash64(key)
     known = rows.filter(key.isNotNull())
-    lowest = known.select(h.alias("h")).distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    return known.filter(h <= F.lit(lowest)) if lowest is not None else known.limit(0)
+    share = min(1.0, 4 * limit / max(known.count(), 1))
+    while True:
+        guess = known if share >= 1 else known.filter(h <= F.lit(int(-(2**63) + share * 2**64)))
+        found = guess.select(h.alias("h")).distinct().orderBy("h").limit(limit).agg(F.count("h").alias("n"), F.max("h").alias("lowest")).first()
+        if found["n"] >= limit or share >= 1:
+            return known.filter(h <= F.lit(found["lowest"])) if found["n"] else known.limit(0)
+        share = min(1.0, share * 16)

@@ -58,8 +58,8 @@ def common_shingles(docs: DataFrame, row_col: str, text_col: str, shingle: int =
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t.as_py(), shingle) for t in batch.column(0)]).view(np.int64))], names=["token"])
 
     counts = map_rows(bounded_sample(docs, F.col(row_col), SAMPLE), [text_col], "token bigint", run).groupBy("token").agg(F.count("*").alias("n")).filter("n > 3")
-    found = counts.orderBy(F.col("n").desc(), "token").limit(COMMON).collect()
-    return np.array([r["token"] for r in reversed(found)], np.int64).view(np.uint64)
+    found = counts.orderBy(F.col("n").desc(), "token").limit(COMMON).select("token").toArrow()["token"].to_numpy()
+    return found[::-1].copy().view(np.uint64)
 
 
 def signatures(docs: DataFrame, row_col: str, text_col: str, common: np.ndarray, shingle: int = SHINGLE) -> DataFrame:

@@ -84,7 +84,7 @@ class Ftrl:
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def update(self, at: np.ndarray, label: int) -> None:
-        at = np.append(at, len(self.z) - 1)
+        at = np.append(at.astype(np.int64), len(self.z) - 1)
         x = np.full(len(at), 1 / max(len(at) - 1, 1) ** 0.5)
         x[-1] = 1.0
         w = self.weights(at)
@@ -98,30 +98,40 @@ class Ftrl:
         return w[:-1].astype(np.float32), float(w[-1])
 
 
-def hashed(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
+def hashed(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with the text replaced by ``at``, its features as little-endian 32-bit integers in one binary value."""
+    others = [c for c in rows.columns if c != text_col]
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32()))], names=["label", "at"])
+        made = pa.array([features(t.as_py()).astype("<i4").tobytes() for t in batch.column(len(others))], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(others)], made], names=[*others, "at"])
 
-    return map_rows(rows.select(text_col, F.col(label_col).cast("int").alias("label")), [text_col, "label"], "label int, at array<int>", run)
+    kinds = ", ".join(f"`{c}` {rows.select(c).schema[0].dataType.simpleString()}" for c in others)
+    return map_rows(rows, [*others, text_col], f"{kinds}, at binary", run)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """(text, label) of a bounded sample of the training fold: labelled rows with crc32(id) mod FOLDS not 0.
+    """(id, label, text) of a bounded sample of the training fold: labelled rows with crc32(id) mod FOLDS not 0.
 
-    The sample is drawn from the labels by a hash of the id and has about ``limit`` rows, of any number of labels.
+    The sample has the ``limit`` ids whose hash is lowest. An id with several labels counts by the least of them.
     """
-    train = labels.filter((fold(F.col(id_col), FOLDS) != 0) & F.col(label).isNotNull()).select(id_col, F.col(label).alias("_label"))
-    few = bounded_sample(train, F.col(id_col), limit).dropDuplicates([id_col])
-    return docs.select(id_col, text_col).join(F.broadcast(few), id_col).select(F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label"))
+    train = labels.filter((fold(F.col(id_col), FOLDS) != 0) & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
+    few = bounded_sample(train, F.col("id"), limit).groupBy("id").agg(F.min("label").alias("label"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("id", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Weights and bias. Without labelled rows all weights are 0, so every score is one half."""
-    rows = hashed(labelled(docs, labels, label, id_col, text_col, limit), "text", "label").limit(2 * limit).collect()
-    rows = sorted(((r.label, np.array(r.at, np.int64)) for r in rows), key=lambda r: zlib.crc32(r[1].tobytes()))
+    """Weights and bias. Without labelled rows all weights are 0, so every score is one half.
+
+    Of documents that share an id, the one whose features sort first is learned from, so at most ``limit`` rows come to
+    the driver: as Arrow columns of about 4 bytes a feature, which are read where they lie.
+    """
+    found = hashed(labelled(docs, labels, label, id_col, text_col, limit)).groupBy("id").agg(F.min("label").alias("label"), F.min("at").alias("at")).select("label", "at").toArrow()
+    rows = [(zlib.crc32(at.as_buffer()), label_.as_py(), np.frombuffer(at.as_buffer(), "<i4")) for label_, at in zip(found["label"], found["at"], strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1]))
     model = Ftrl()
     for _ in range(EPOCHS):
-        for label_, at in rows:
+        for _, label_, at in rows:
             model.update(at, label_)
     return model.model()
 

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from fathomite.llm import mixing, quality_ftrl, quality_rules
 from fathomite.llm.common import materialize
-from test_op01_simhash_anchor import brute_components, brute_fingerprint
+from test_near_dedup import brute_groups
 from test_op09_bpe_bitmap import library, ranks  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +38,8 @@ def test_classifier(spark, steps):
 
 def test_near_duplicates(steps):
     rows = steps[2].collect()
-    keep = {c for _, c in brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows])}
+    groups = brute_groups([(r.doc_id, r.text) for r in rows])
+    keep = {min(r.doc_id for r, g in zip(rows, groups, strict=True) if g == own) for own in groups}
     assert sorted(steps[3].collect()) == sorted(r for r in rows if r.doc_id in keep)
 
 
