@@ -13,6 +13,7 @@ def table(seed=8, n=300):
     for i in range(n):
         source = rng.choice(["a", "a", "a", "b", "Z", "é", None])
         rows.append((i, None if i == 7 else " ".join(f"w{rng.randint(0, 99)}" for _ in range(0 if i == 9 else rng.randint(1, 900))), source))
+    rows.append((n, " ".join(f"v{i}" for i in range(20_000)), "b"))
     return rows + [rows[3], rows[3], (None, "one two", "b")]
 
 
@@ -56,17 +57,35 @@ def test_targets_taken_and_sql(spark, docs):
     assert sorted(map(repr, sql.fillna(-1).astype({"doc_id": int})[list(got.columns)].itertuples(index=False))) == sorted(map(repr, got.fillna(-1).astype({"doc_id": int}).itertuples(index=False)))
 
 
-def test_permutations_are_one_to_one_and_shards_add_up(spark, docs):
-    sources = op.targets(op.sized(docs))
-    for r in sources.join(op.slots(sources).groupBy("sid", "block").count(), "sid").collect():
+def test_slots_follow_the_drawn_counts(spark, docs):
+    sources = op.targets(op.sized(docs)).cache()
+    counts = op.shard_counts(sources).cache()
+    held = op.slots(sources, counts).cache()
+    for r in sources.join(held.groupBy("sid", "block").count(), "sid").collect():
         assert 0 <= r.block < r.blocks and r["count"] in (r.slots // r.blocks, -(-r.slots // r.blocks))
-    counts = op.shard_counts(sources).groupBy("sid").sum("n").toDF("sid", "n").join(sources, "sid").collect()
-    assert all(r.n == r.slots for r in counts)
+    assert sorted(held.groupBy("sid", "shard").count().collect()) == sorted(counts.collect())
+    assert {r.sid: r.n for r in counts.groupBy("sid").agg(op.F.sum("n").alias("n")).collect()} == {r.sid: r.slots for r in sources.collect() if r.slots}
+    # With another draw other slots are taken: one that holds back half of its shards leaves their blocks out.
+    fewer = op.slots(sources, counts.filter("shard % 2 = 0"))
+    assert fewer.count() == (counts.filter("shard % 2 = 0").agg(op.F.sum("n")).first()[0] or 0)
+
+
+def test_counts_are_a_multinomial_draw(spark, monkeypatch):
+    monkeypatch.setattr(op, "SHARD", 64)
+    docs = spark.createDataFrame([(i, "w " * 1000, s) for i, s in enumerate("abc" * 40)], "doc_id long, text string, source string")
+    sources = op.targets(op.sized(docs)).cache()
+    n = {(r.sid, r.shard): r.n for r in op.shard_counts(sources).collect()}
+    for s in sources.collect():
+        mean = s.slots / s.shards
+        own = [n.get((s.sid, k), 0) for k in range(s.shards)]
+        assert sum(own) == s.slots and 0.3 < sum((x - mean) ** 2 for x in own) / s.shards / mean < 3
 
 
 def test_documents_follow_the_mix(spark, docs):
-    plain = docs.drop("size").dropDuplicates()
-    taken = {(r.doc_id, r.size): r.taken for r in op.mix(plain).collect()}
+    plain = docs.dropDuplicates()
+    taken = Counter()
+    for r in op.mix(plain).collect():
+        taken[r.doc_id] += r.taken
     made = op.mix_documents(plain.withColumn("n_chars", op.F.lit(0)), length_col="n_chars").collect()
     words = Counter()
     texts = {r.doc_id: r.text or "" for r in plain.collect()}
@@ -74,7 +93,32 @@ def test_documents_follow_the_mix(spark, docs):
         words[r.doc_id] += len(r.text.split())
         assert r.n_chars == len(r.text)
         assert r.text == texts[r.doc_id] or len(r.text.split()) < len(texts[r.doc_id].split())
-    assert words == Counter({k[0]: v for k, v in taken.items() if v})
+    assert +words == +taken
+
+
+def test_white_space_is_kept_and_names_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 5)
+    monkeypatch.setattr(op, "SHARD", 8)
+    texts = {i: "".join(random.Random(i).choice([" ", "\n", "\t ", "\n\n  "]) + f"w{i}x{j}" for j in range(i * 3)) + "  " for i in range(1, 25)}
+    rows = [(i, t, "ab"[i % 2], "1", 2, "3", "4", "5", "6", "7") for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _h string, _size int, _words string, key string, row string, picks string, way string")
+    for shard_col in (None, "shard", "_h"):
+        made = op.mix_documents(docs, shard_col=shard_col)
+        assert made.columns == docs.columns + (["shard"] if shard_col == "shard" else [])
+        words, times = Counter(), Counter()
+        for r in made.collect():
+            assert (r._size, r._words, r.key, r.row, r.picks, r.way) == (2, "3", "4", "5", "6", "7") and r.source == "ab"[r.doc_id % 2]
+            words.update(r.text.split())
+            left = texts[r.doc_id]
+            for run in r.text.split():  # in order
+                left = left[left.index(run) + len(run) :]
+            times[r.doc_id] += len(r.text.split())
+            if shard_col is None and len(r.text.split()) == 3 * r.doc_id:
+                assert r.text == texts[r.doc_id]
+        assert max(words.values()) <= 2
+        assert times == +Counter({r.doc_id: r.taken for r in op.mix(docs).collect()})
+    by_shard = {(r.doc_id, int(r._h)) for r in op.mix_documents(docs, shard_col="_h").collect()}
+    assert Counter(d for d, _ in by_shard) == +Counter({r.doc_id: r.n_shards for r in op.mix(docs).collect()})
 
 
 def test_empty(spark, docs):
