@@ -66,11 +66,27 @@ def test_tables(spark):
     assert op.media_columns(docs.limit(0)).count() == 0
 
 
+def test_equal_chunks_are_stored_once(spark):
+    rng = random.Random(5)
+    passage = " ".join(rng.choices([f"w{i}" for i in range(999)], k=20_000))
+    texts = [passage, passage + " end", passage, "a beginning " + passage, "x" * 400 + passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    stored = op.chunk_store(docs).collect()
+    wanted = {hashlib.sha256(c).digest(): c for t in texts for c in op.cut(op.payload_of(t)[1])}
+    assert {bytes(r.digest) for r in stored} == set(wanted) and len(stored) == len(wanted)
+    alone = sum(len(op.cut(op.payload_of(t)[1])) for t in texts)
+    assert len(stored) < alone / 4, "the passage's chunks are shared, the first ones too"
+    files = {bytes(r.media): bytes(r.file) for r in op.rebuild(op.manifest(docs).select("media", "header", "chunks").dropDuplicates(["media"]), op.chunk_store(docs)).collect()}
+    assert files == {hashlib.sha256(w).digest(): w for w in (op.wav_of(op.payload_of(t)[1]) for t in texts)}
+
+
 def test_damage_is_found(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
-    lists, store = op.manifest(docs).select("media", "chunks"), op.chunk_store(docs)
+    lists, store = op.manifest(docs).select("media", "header", "chunks"), op.chunk_store(docs)
     with pytest.raises(Exception, match="not in the store"):
         op.rebuild(lists, store.limit(0)).collect()
     other = op.chunk_store(spark.createDataFrame([("other",)], "text string")).select("packed")
     with pytest.raises(Exception, match="damaged"):
         op.rebuild(lists, store.drop("packed").crossJoin(other)).collect()
+    with pytest.raises(Exception, match="damaged"):
+        op.rebuild(lists, store.withColumn("packed", op.F.lit(b"no frame"))).collect()
