@@ -106,6 +106,8 @@ def slots(sources: DataFrame, counts: DataFrame) -> DataFrame:
     sums = sums.select("sid", "range", F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("before"))
     rows = rows.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, ["sid", "range"])
     first = F.col("before") + F.col("ahead")
+    # A row of counts stands for thousands of slots, so a few small partitions of them would be a few long tasks.
+    rows = rows.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "shard")
     numbered = rows.select("sid", "shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot")).join(sources.select("sid", "blocks", "keys"), "sid")
     return numbered.select("sid", "shard", _permuted(F.col("slot") % F.col("blocks")).alias("block"))
 
