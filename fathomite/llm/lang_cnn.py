@@ -10,11 +10,11 @@ size, so memory does not grow with a text.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_sample, fold, map_rows
@@ -29,7 +29,8 @@ TRAIN_DOCS, PER_DOC = 3000, 3
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 SCORED = 512
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of one of the letter categories; superscripts, circled digits and the like are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -158,9 +159,12 @@ class Network:
 
 
 def training_windows(docs: DataFrame, lang_col: str, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """(lang, bytes) of at most PER_DOC windows from each of a bounded sample of documents outside the held-out fold."""
+    """(lang, bytes) of at most PER_DOC windows from each of a bounded sample of documents outside the held-out fold.
+
+    Of documents that share an id, the one whose text sorts first is taken.
+    """
     own = docs.select(id_col, text_col, F.col(lang_col).alias("_lang")).filter((fold(F.col(id_col), FOLDS) != HELD_OUT) & F.col("_lang").isNotNull())
-    few = bounded_sample(own, F.col(id_col), limit)
+    few = bounded_sample(own, F.col(id_col), limit).groupBy(id_col).agg(F.min(F.struct(text_col, "_lang")).alias("_d")).select(f"_d.{text_col}", "_d._lang")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, made = [], []
@@ -177,8 +181,8 @@ def training_windows(docs: DataFrame, lang_col: str, id_col: str, text_col: str,
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> Network:
     """A network for the languages in the sample; one without languages where there is nothing to learn from."""
-    found = training_windows(docs, lang_col, id_col, text_col, limit).limit(2 * limit * PER_DOC).collect()
-    found = sorted({(zlib.crc32(bytes(r.bytes)), bytes(r.bytes), r.lang) for r in found})
+    found = training_windows(docs, lang_col, id_col, text_col, limit).toArrow()
+    found = sorted({(zlib.crc32(data.as_py()), data.as_py(), lang.as_py()) for data, lang in zip(found["bytes"], found["lang"], strict=True)})
     network = Network(sorted({lang for *_, lang in found}))
     if found:
         rows = np.full((len(found), WINDOW), PAD, np.uint16)

@@ -77,3 +77,34 @@ def test_nulls_repeats_and_empty_tables(spark, docs):
     assert {i: got[i].lang_pred for i in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"} and got[4].lang_pred in VOICES and got[None].lang_pred in VOICES
     assert op.languages(odd.limit(0)).count() == 0
     assert {r.lang_pred for r in op.languages(odd.withColumn("lang", op.F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_letters_by_category():
+    import unicodedata
+
+    for c in map(chr, range(0x3000)):
+        if unicodedata.category(c) != "Cn":  # two libraries may know different versions of Unicode
+            assert bool(op.LETTER.search(c)) == (unicodedata.category(c)[0] == "L")
+    network = op.Network(["x", "y"])
+    assert network.predict(["² ½ ①", "12 _ !", None, "", "é"]) [:4] == [(op.UNKNOWN, 0.0)] * 4
+
+
+def test_predict_by_brute_force():
+    network = op.Network(["x", "y", "z"])
+    texts = ["short", "é" * 300, "a longer text with Capitals " * 50, "ab" * 2000]
+    for text, (lang, score) in zip(texts, network.predict(texts), strict=True):
+        data = text.lower().encode()
+        step, total, weight = op.WINDOW - op.WIDEST + 1, np.zeros(3), 0.0
+        starts = range(0, max(1, len(data) - op.WIDEST + 1), step)
+        for at in starts:
+            own = list(data[at : at + op.WINDOW]) + [op.PAD] * max(0, op.WINDOW - len(data[at : at + op.WINDOW]))
+            top = np.full(op.FILTERS, -np.inf)
+            for i in range(op.WINDOW - op.WIDEST + 1):
+                patch = network.p["embedding"][own[i : i + op.WIDEST]].reshape(-1)
+                top = np.maximum(top, patch @ network.p["filters"])
+            logits = np.maximum(top + network.p["offset"], 0) @ network.p["dense"] + network.p["bias"]
+            p = np.exp(logits - logits.max())
+            w = max(1, min(len(data) - at, step))
+            total += p / p.sum() * w
+            weight += w
+        assert lang == network.languages[int(total.argmax())] and score == pytest.approx(total.max() / weight, abs=1e-4)
