@@ -5,8 +5,10 @@ nearest enclosing element whose name, class or id is telling, and below zero onc
 linear scan finds the contiguous region with the greatest sum. The main text is the region's words that score above zero, in
 blocks, so an advert between two paragraphs goes without its neighbours.
 
-The weights come from labelled pages (``LABELLED``): for container names a log ratio of words inside and outside the
-main text, for tags, boilerplate and words without a telling container the values that find the labelled text best.
+The weights come from labelled pages: for container names a log ratio of words inside and outside the main text, for
+tags, links, boilerplate and words without a telling container the values that find the labelled text best. There is no
+table of such pages, so they are part of the module: some written out (``LABELLED``) and one built around each name that
+sites give to what is not their text (``OUTSIDE``), inside and beside containers of the names that they give to it.
 """
 
 from __future__ import annotations
@@ -51,9 +53,38 @@ LABELLED = (
     '<body><table class="menu"><tr><td><a>Start</a></td><td><a>Links</a></td></tr></table><!--[--><p>This page has no sections at all, only paragraphs that follow each other, as pages had in the early days of the web.</p><p>The second paragraph goes on about the same matter and has no end in sight for the patient reader.</p><!--]--><p class="footer copyright">Last changed in May</p></body>',
 )
 
+#: Names of containers, singular: of main text, and of what surrounds it.
+INSIDE = "article story post entry content main body text prose".split()
+OUTSIDE = (
+    "ad advert advertisement advertising adsense adslot alert aside author-bio banner breadcrumb colophon comment consent contact cookie copyright credit cta "
+    "discussion disqus feedback follow footer gdpr guestbook hidden imprint legal login masthead menu modal nav navbar navigation newsletter notice outbrain "
+    "overlay pager pagination paywall popular popup privacy promo promotion rail recommendation recommended related remark reply respond response search share "
+    "sharing sidebar signup social sponsor sponsored subscribe subscription taboola toast toolbar topbar trending widget"
+).split()
+_LINES = (
+    "Seven words that belong to nothing here",
+    "The river had risen in the night and by the morning it stood in the lower fields where nobody had seen it before.",
+    "They took the boat from the barn and rowed across to the mill to see whether the old man was safe.",
+)
+
+
+def built_pages() -> tuple[str, ...]:
+    """A labelled page for each name of OUTSIDE, which stands before, behind or inside the main text, by turns."""
+    pages = []
+    for i, name in enumerate(OUTSIDE):
+        tag = ("div", "section", "ul")[i % 3]
+        odd = f'<{tag} class="{name}"><li><a>{_LINES[0]}</a></li><p>{_LINES[0]}</p></{tag}>'
+        place = i // 3 % 3
+        first, last = (f"<!--[--><p>{line}</p><!--]-->" for line in _LINES[1:])
+        own = f'<div class="{INSIDE[i % len(INSIDE)]}">{first}{odd if place == 2 else ""}{last}</div>'
+        pages.append(f"<html><body>{odd if place == 0 else ''}{own}{odd if place == 1 else ''}</body></html>")
+    return tuple(pages)
+
+
 _TOKEN = re.compile(r"<!--(.*?)(?:-->|$)|<!?(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>|<[!?][^>]*>|<[!/?a-zA-Z][^<>]*$|([^<]+|<)", re.S)
+_CLOSE = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)")
 _HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -62,25 +93,50 @@ class Weights:
     tag: float = -0.5
     word: float = 0.5
     boilerplate: float = -0.5
+    link: float = 0.5
 
 
-def _hints(name: str, attributes: str, inside: bool) -> list[str]:
-    """Names that tell of a container: the element's, marked where it lies inside main text, and its class and id words."""
-    own = [name + "/in" if inside and name in ("header", "footer") else name] if name in ALWAYS else []
+def _hints(name: str, attributes: str, inside: bool) -> list[list[str]]:
+    """Names that tell of a container: the element's, marked where it lies inside main text, and for each of its classes,
+    ids and roles the words that this is made of."""
+    own = [[name + "/in" if inside and name in ("header", "footer") else name]] if name in ALWAYS else []
     for found in _HINT.finditer(attributes):
-        own += ["." + part for part in _PART.findall((found[1] or found[2] or found[3] or "").lower())]
+        for given in (found[1] or found[2] or found[3] or "").split():
+            parts = [p.lower() for p in _PART.findall(given)]
+            own.append(["." + (p[:-1] if len(p) > 3 and p.endswith("s") else p) for p in parts])
     return own
 
 
+def _told(hints: list[list[str]], names: dict[str, float]) -> float:
+    """The sum of what a container's names tell. In a name of several words the one for boilerplate decides: comments of
+    an article are comments."""
+    values = ([names.get(h, 0.0) for h in own] for own in hints if own)
+    return sum(min(v) if min(v) <= -1 else sum(v) for v in values)
+
+
+@cache
+def _closing(name: str) -> re.Pattern[str]:
+    return re.compile(f"</{name}(?![a-z0-9:-])[^>]*(>|$)", re.I)
+
+
 def tokens(page: str, weights: Weights):
     """Yield (kind, value, score, main, hints): kind is "tag" for tags, "text" for decoded text.
 
     score is a word's; main tells whether a label is open; hints are the names of the containers around a text.
     """
-    low = page.lower()
-    last_close = {}
+    last_close: dict[str, int] = {}
+    links = 0
     stack: list[tuple[str, float, list[str]]] = []
     main, at, end = False, 0, len(page)
+
+    def last_of(name: str) -> int:
+        """Where the page's last closing tag of that name begins; -1 where it has none."""
+        if not last_close:
+            last_close[""] = -1
+            for found in _CLOSE.finditer(page):
+                last_close[found[1].lower()] = found.start()
+        return last_close.get(name, -1)
+
     while at < end:
         found = _TOKEN.match(page, at)
         if found is None:
@@ -92,30 +148,30 @@ def tokens(page: str, weights: Weights):
             main = comment == "[" or (main and comment != "]")
         elif name is not None:
             name = name.lower()
+            if name == "a":
+                links = 0 if slash else 1
             if slash:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
                         del stack[i:]
                         break
             elif name in RAW and not attributes.endswith("/"):
-                close = low.find("</" + name, at)
-                if close >= 0:
-                    at = (low.find(">", close) + 1) or end
+                if last_of(name) >= at:
+                    at = _closing(name).search(page, at).end()
                 elif name not in ("head", "title"):
                     at = end
             elif name in CONTAINERS and not attributes.endswith("/"):
-                if name not in last_close:
-                    last_close[name] = low.rfind("</" + name)
-                if last_close[name] >= at:
+                if last_of(name) >= at:
                     above = stack[-1][1] if stack else None
                     hints = _hints(name, attributes, above is not None and above > 0)
-                    told = sum(weights.names.get(h, 0.0) for h in hints)
+                    told = _told(hints, weights.names)
                     score = above if above is not None and (above < 0 or abs(told) < 1) else max(-4.0, min(4.0, told)) if abs(told) >= 1 else None
-                    stack.append((name, score, hints))
+                    stack.append((name, score, [h for own in hints for h in own]))
             yield "tag", name, weights.tag, main, ()
         elif text is not None:
             score = stack[-1][1] if stack else None
             score = weights.word if score is None else max(score, weights.boilerplate)
+            score = min(score, weights.link) if links else score
             yield "text", html.unescape(text), score, main, next((hints for *_, hints in reversed(stack) if hints), [])
 
 
@@ -163,8 +219,9 @@ def _found(page: str, weights: Weights) -> set[tuple[int, str]]:
 
 
 @cache
-def trained(pages: tuple[str, ...] = LABELLED) -> Weights:
+def trained(pages: tuple[str, ...] | None = None) -> Weights:
     """Weights from labelled pages."""
+    pages = LABELLED + built_pages() if pages is None else pages
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page in pages:
@@ -175,7 +232,7 @@ def trained(pages: tuple[str, ...] = LABELLED) -> Weights:
                 for h in set(hints):
                     (inside if main else outside)[h] += n
     names = {h: math.log((inside[h] + 0.5) / (outside[h] + 0.5)) for h in inside | outside}
-    choices = [Weights(names, -tag, word, -over) for tag in (0.2, 0.5, 1.0, 2.0) for word in (0.2, 0.5, 1.0) for over in (0.1, 0.5, 1.0, 4.0)]
+    choices = [Weights(names, -tag, word, -over, link) for tag in (0.2, 0.5, 1.0, 2.0) for word in (0.2, 0.5, 1.0) for over in (0.1, 0.5, 1.0, 4.0) for link in (0.05, 0.2)]
     return min(choices, key=lambda w: sum(len(_truth(p) ^ _found(p, w)) for p in pages))
 
 

@@ -17,6 +17,7 @@ def test_region_matches_all_runs():
 def test_labelled_pages_are_found():
     weights = op.trained()
     assert [len(op._truth(p) ^ op._found(p, weights)) for p in op.LABELLED] == [0] * len(op.LABELLED)
+    assert sum(len(op._truth(p) ^ op._found(p, weights)) for p in op.built_pages()) == 0
 
 
 WORDS = "some words of an article that goes on for quite a while and has an end"
@@ -35,6 +36,8 @@ WORDS = "some words of an article that goes on for quite a while and has an end"
         (f"<article><p><b>{WORDS}<br><p>{WORDS}</p></article><foot", f"{WORDS}\n{WORDS}"),
         (f"<nav><article><p>{WORDS}</p></article>", WORDS),
         (f"<article><p>{WORDS} 1 < 2 and 3 > 2</p></article><script>never closed", f"{WORDS} 1 < 2 and 3 > 2"),
+        ("İ" * 12 + f"<article><p>{WORDS}</p><SCRIPT>var İ = 'no'</Script ><p>{WORDS} b</p></article>", f"{WORDS}\n{WORDS} b"),
+        (f"<html><head><title>T<body><header class=top><a>x</a></header><article><header><h1>{WORDS}</h1></header><p>{WORDS}</p></article>", f"{WORDS}\n{WORDS}"),
         (f"<div class=comments><p>{WORDS}</p></div><article><p>{WORDS} main</p></article>", f"{WORDS} main"),
     ],
 )
@@ -42,6 +45,35 @@ def test_pages(page, text):
     assert op.extract(page) == text
 
 
+A, B, C = (f"{w} {WORDS}" for w in ("First", "Second", "Third"))
+#: Pages whose markup is not that of the labelled ones.
+HELD_OUT = [
+    (f"<main><h1>{A}</h1><p>{B}</p><div class='reader-responses'><h2>What readers say</h2><p>{C} I liked it a lot</p></div></main>", f"{A}\n{B}"),
+    (f"<div class='site-masthead'><p>The paper of the valley since 1890</p></div><p>{A}</p><p>{B}</p><div id='disqus_thread'><p>{C}</p></div><div class=colophon>Set in type by hand</div>", f"{A}\n{B}"),
+    (f"<div class='newsletterCta'><p>Get our letter every morning in your box</p></div><div class='post__body'><p>{A}</p><blockquote>{B}</blockquote></div>", f"{A}\n{B}"),
+    (f"<section class='pageContent'><p>{A}</p><aside><p>{C}</p></aside><p>{B} <a href=x>with a link</a> in it</p></section><div role='navigation'><a>One</a><a>Two</a></div>", f"{A}\n{B} with a link in it"),
+    (f"<div><a>Home</a> <a>News of the day</a> <a>Sports</a> <a>All</a></div><div><p>{A}</p><p>{B}</p></div><div class='gdpr-overlay'><p>{C}</p></div>", f"{A}\n{B}"),
+    (f"<article><div class='breadcrumbs'><a>a</a> / <a>b</a></div><p>{A}</p><div class='sponsored-links'><p>{C}</p></div><p>{B}</p><section class='relatedArticles'><p>{C}</p></section></article>", f"{A}\n{B}"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HELD_OUT)
+def test_held_out_pages(page, text):
+    assert page not in op.LABELLED + op.built_pages()
+    assert op.extract(page) == text
+
+
+def test_extract_by_brute_force():
+    """The words that extract keeps are those of the best of all runs, taken over every start and end."""
+    weights = op.trained()
+    for page, _ in HELD_OUT:
+        seen = list(op.tokens(page, weights))
+        value = [score * (len(v.split()) if kind == "text" else 1) for kind, v, score, *_ in seen]
+        i, j = max(combinations(range(len(seen) + 1), 2), key=lambda r: (round(sum(value[r[0] : r[1]]), 9), r[0] - r[1]))
+        words = [w for kind, v, score, *_ in seen[i:j] if kind == "text" and score > 0 for w in v.split()]
+        assert op.extract(page).split() == words
+
+
 def test_time_is_linear():
     import time
 
