@@ -9,9 +9,6 @@ from pyspark.sql import Column, functions as F
 
 from . import values as V
 
-_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#160;": " "}
-_PUNCTUATION = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
-
 
 def find_all(text: Column, pattern: str, flags: str = "U") -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?{flags})({pattern})"), F.lit(1))
@@ -40,7 +37,8 @@ def collapse(text: Column) -> Column:
 
 
 def normalize_claim(text: Column) -> Column:
-    return collapse(F.lower(text))
+    """Composed, in lower case, white space runs to one space. Only texts beyond ASCII are sent to be composed."""
+    return collapse(F.lower(nfc(text)))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -48,12 +46,12 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Straight quotes and dashes, entities decoded, control characters gone, line feeds only, single spaces, no space at
-    line ends, at most one blank line together. Canonical composition is left to ``nfc``, which no built-in does."""
-    s = F.coalesce(text, F.lit(""))
-    for old, new in _PUNCTUATION.items():
+    """Canonical composition, straight quotes and dashes, entities decoded, control characters gone, line feeds only,
+    single spaces, no space at line ends, at most one blank line together."""
+    s = nfc(F.coalesce(text, F.lit("")))
+    for old, new in V.PUNCTUATION.items():
         s = F.replace(s, F.lit(old), F.lit(new))
-    for old, new in _ENTITIES.items():
+    for old, new in V.ENTITIES.items():
         for form in dict.fromkeys((old, old.upper())):
             s = F.replace(s, F.lit(form), F.lit(new))
     s = F.regexp_replace(s, r"[\x00\x0b\x0c]", "")

@@ -36,6 +36,23 @@ MAX_TOKENS, TOKENS_PER_WORD = 2000, 1.3
 FIRST_YEAR, LAST_YEAR = 2016, 2026
 RELEASE_DAY = 18
 
+# --- Fixed values: sections that are not chunked, and items of reports that are kept, with the part that each is in -------
+SKIPPED_SECTIONS = (
+    "consolidated_balance_sheets",
+    "consolidated_statements_of_operations",
+    "consolidated_statements_of_cash_flows",
+    "consolidated_statements_of_comprehensive_income",
+    "consolidated_statements_of_stockholders_equity",
+    "cover_page",
+    "signatures",
+    "exhibits_index",
+)
+RETAINED_ITEMS = {
+    "10-K": {"Item 1": "Part I", "Item 1A": "Part I", "Item 7": "Part II", "Item 7A": "Part II"},
+    "10-Q": {"Item 2": "Part I", "Item 3": "Part I", "Item 1A": "Part II"},
+}
+RESULTS_ITEM = "2.02"
+
 # --- Fixed values: sentence and chunk rules ----------------------------------------------------------------------------
 ABBREVIATIONS = ("Inc", "Co", "Corp", "Ltd", "Mr", "Mrs", "Ms", "Dr", "Jr", "Sr", "St", "vs", "etc", "i.e", "e.g", "U.S", "U.K", "p.m", "a.m", "No", "Cf", "Ave")
 LETTER_APPENDIX = (
@@ -51,6 +68,10 @@ TRANSCRIPT_FOOTERS = (
     r"(?m)^spglobal\.com/marketintelligence\s*\d*\s*$",
 )
 
+# --- Fixed values: characters and references that normalisation replaces --------------------------------------------------
+PUNCTUATION = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
+ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#160;": " "}
+
 # --- Fixed values: patterns ---------------------------------------------------------------------------------------------
 TOKEN = r"\b[a-z0-9][a-z0-9'-]*\b"
 NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d+\.\d+\b|\b\d{2,}\b"

@@ -3,14 +3,23 @@
 Corpora are DataFrames (seq, id, text or vector, period, source_document, layer). All slots of a run go through one
 plan. Scores are rounded to six places before they are ranked, and ties go to the earlier seq, so ranks do not depend on
 the order of additions. Top-k is written as a bounded row number, which Spark prunes before the shuffle.
+
+A corpus is tokenised once, into an index that is written: postings, terms with their weights, and two figures. Queries
+read the postings of their own terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import period as P, text as T, values as V
-from ..storage import materialize
+from ..storage import materialize, released, shared_dir
 
 
 def term_counts(corpus: DataFrame, terms: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -27,55 +36,146 @@ def corpus_figures(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return corpus.select(F.size(T.tokenize(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def _weighed(df: DataFrame, n: int, epsilon: float) -> DataFrame:
+    """(term, df, idf) of (term, df) among n texts: Okapi's, with those below zero raised to ``epsilon`` times the mean."""
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
 def inverse_frequencies(corpus: DataFrame, epsilon: float = V.BM25_EPSILON, text_col: str = "text") -> DataFrame:
-    """(term, df, idf): Okapi's, with those below zero raised to ``epsilon`` times the vocabulary's mean.
+    """(term, df, idf) over a whole corpus.
 
     A document's distinct terms are unrolled and counted by term with a partial count on each task; postings are not
     shuffled for it.
     """
-    n = corpus.agg(F.count("*").alias("n"))
     df = corpus.select(F.explode(F.array_distinct(T.tokenize(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return _weighed(df, corpus.count(), epsilon)
+
+
+@dataclass
+class TextIndex:
+    """postings (id, term, tf, dl), terms (term, df, idf) and figures (n, avgdl: one row), each a written table."""
+
+    postings: DataFrame
+    terms: DataFrame
+    figures: DataFrame
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
+def build_text_index(corpus: DataFrame, path: str | None = None, id_col: str = "id", text_col: str = "text", epsilon: float = V.BM25_EPSILON) -> TextIndex:
+    """Tokenise a corpus once and write its index under ``path``, whose former index is replaced; without a path under
+    the shared folder. Texts without a term have no postings and still count among the n."""
+    spark = corpus.sparkSession
+    path = path or f"{shared_dir(spark)}/fathomite_index_{uuid.uuid4().hex}"
+    own = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with released(spark):
+        term_counts(own).write.mode("overwrite").parquet(f"{path}/postings")
+        postings = spark.read.parquet(f"{path}/postings")
+        n = own.count()
+        _weighed(postings.groupBy("term").agg(F.count("*").alias("df")), n, epsilon).write.mode("overwrite").parquet(f"{path}/terms")
+        postings.agg(F.lit(n).cast("bigint").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / max(n, 1)).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
+    return open_text_index(spark, path)
+
+
+def open_text_index(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "figures")))
+
+
+def bm25_scores(corpus: DataFrame | TextIndex, queries: DataFrame, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
     """(slot_id, id, score) of every document that shares a term with a query; ``queries`` is (slot_id, query).
 
     A term that a query repeats counts as often. Statistics are of the whole corpus. Queries are a batch of questions
     against all rows: the equi-join on the term meets only matching postings.
     """
+    index = corpus if isinstance(corpus, TextIndex) else build_text_index(corpus)
     asked = queries.select("slot_id", F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy("slot_id", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    idf = materialize(inverse_frequencies(corpus).join(terms, "term", "left_semi"), "idf")
-    avgdl = corpus_figures(corpus).first()["avgdl"]
+    weighed = asked.join(index.terms.select("term", "idf"), "term").join(F.broadcast(index.figures.select(F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"))))
     tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(float(avgdl or 1))))
-    weighed = asked.join(idf, "term")
-    return term_counts(corpus, idf.select("term")).join(weighed, "term").groupBy("slot_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+    return index.postings.join(weighed, "term").groupBy("slot_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+#: Query vectors at most that are held beside a batch of rows at a time.
+QUERY_BLOCK = 4096
+
 
+def unit_vectors(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(id, seq, vector) of length one in DOUBLE, what a vector index stores; a vector of zeros is kept, a null one left
+    out. Written with ``mode("overwrite")`` it replaces a former index."""
+    v = F.col(vector_col).cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col("seq") if "seq" in vectors.columns else F.col(id_col)).alias("seq"), unit.alias("vector"))
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(slot_id, id, score) of every vector for every query vector, in DOUBLE.
 
-    The queries are the stated batch: they are kept in one array beside each row, so no pairs are shuffled. Their number
-    is checked, as they are collected to a constant.
+def cosine_scores(vectors: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+    """(slot_id, id, score) of every vector for every query vector, in DOUBLE; 0 where either is all zeros.
+
+    The queries are the stated batch of questions: they are sent to all tasks in blocks of QUERY_BLOCK, and each batch of
+    rows is scored by one matrix product. With ``most`` a batch passes on only rows that can be among the best ``most``
+    of a query, ties included, so that pairs do not become rows.
+    """
+    spark = vectors.sparkSession
+    asked = queries.select(F.col("slot_id").cast("string").alias("slot_id"), F.col("vector").cast("array<double>").alias("q")).toArrow()
+    kind = vectors.select("id").schema[0].dataType.simpleString()
+    schema = f"slot_id string, id {kind}, score double"
+    if not asked.num_rows:
+        return spark.createDataFrame([], schema)
+
+    def units(rows: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+    def part(lo: int) -> DataFrame:
+        block = asked.slice(lo, QUERY_BLOCK)
+        names = block["slot_id"].combine_chunks() if block["slot_id"].num_chunks != 1 else block["slot_id"].chunk(0)
+        shared = spark.sparkContext.broadcast((names, units(np.array(block["q"].to_pylist(), np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots, q = shared.value
+            for batch in batches:
+                step = max(1, 2_000_000 // len(slots))
+                for at in range(0, batch.num_rows, step):
+                    own = batch.slice(at, step)
+                    score = np.round(q @ units(np.array(own.column(1).to_pylist(), np.float64)).T, 6) + 0.0
+                    if most is not None and score.shape[1] > most:
+                        i, j = np.nonzero(score >= np.partition(score, -most, axis=1)[:, -most][:, None])
+                    else:
+                        i, j = (x.ravel() for x in np.indices(score.shape))
+                    yield pa.RecordBatch.from_arrays([slots.take(pa.array(i)), own.column(0).take(pa.array(j)), pa.array(score[i, j])], names=["slot_id", "id", "score"])
+
+        rows = vectors.filter(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector"))
+        return rows.mapInArrow(run, schema)
+
+    out = part(0)
+    for lo in range(QUERY_BLOCK, asked.num_rows, QUERY_BLOCK):
+        out = out.unionByName(part(lo))
+    return out
+
+
+Embedder = Callable[[DataFrame, str], DataFrame]
+
+
+def hashed_embedder(dim: int = 384, id_col: str = "id") -> Embedder:
+    """A stand-in for an embedding model: counts of a text's terms by hash, signed by another, of length one.
+
+    An ``Embedder`` turns (rows, text column) into (id, vector ARRAY<DOUBLE>).
     """
-    asked = queries.select("slot_id", F.col("vector").cast("array<double>").alias("q")).limit(10_001).collect()
-    if len(asked) > 10_000:
-        raise ValueError("a batch has 10,000 query vectors at most; run the batches one after another")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    batch = vectors.sparkSession.createDataFrame([(r["slot_id"], r["q"]) for r in asked], "slot_id string, q array<double>").select(F.collect_list(F.struct("slot_id", "q")).alias("_batch"))
-    rows = vectors.filter(F.col("vector").isNotNull()).withColumn("_v", F.col("vector").cast("array<double>")).join(F.broadcast(batch))
-    rows = rows.select("id", "_v", F.sqrt(dot(F.col("_v"), F.col("_v"))).alias("_n"), F.explode("_batch").alias("_q"))
-    norm = F.sqrt(dot(F.col("_q.q"), F.col("_q.q"))) * F.col("_n")
-    return rows.select(F.col("_q.slot_id").alias("slot_id"), "id", F.round(F.when(norm > 0, dot(F.col("_v"), F.col("_q.q")) / norm).otherwise(F.lit(0.0)), 6).alias("score"))
+
+    def embed(rows: DataFrame, text_col: str) -> DataFrame:
+        terms = T.tokenize(F.coalesce(F.col(text_col), F.lit("")))
+        at = F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("i"), F.when(F.pmod(F.crc32(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+        own = rows.select(F.col(id_col).alias("id"), at.alias("_at"))
+        sums = own.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter("_at", lambda x: x["i"] == d), F.lit(0.0), lambda s, x: s + x["s"])).alias("vector"))
+        return unit_vectors(sums).select("id", "vector")
+
+    return embed
 
 
 def eligible(scored: DataFrame, corpus: DataFrame, slots: DataFrame, layer: str, prefix: str = "nflx") -> DataFrame:
     """Scored rows with their metadata, before top-k: facts by own period or document, chunks by document only."""
-    rows = scored.join(corpus.select("id", "seq", "period", "source_document"), "id").join(F.broadcast(slots.select("slot_id", "period_filter")), "slot_id")
+    # Slots are a batch of questions; Spark sends them to all tasks only where they are small.
+    rows = scored.join(corpus.select("id", "seq", "period", "source_document"), "id").join(slots.select("slot_id", "period_filter"), "slot_id")
     by_document = F.array_contains(P.equivalent_documents(F.col("period_filter"), prefix), F.col("source_document"))
     own = F.array_contains(P.equivalent_periods(F.col("period_filter")), F.col("period"))
     inside = F.coalesce(own, F.lit(False)) | F.coalesce(by_document, F.lit(False)) if layer == "fact" else F.coalesce(by_document, F.lit(False))
@@ -126,7 +226,15 @@ def by_tier(table: dict[str, int], tier: str = "complexity_tier") -> Column:
     return out
 
 
-def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memory: DataFrame | None = None, tier: str = "simple", prefix: str = "nflx") -> DataFrame:
+LAYERS = ("fact", "chunk")
+
+
+def build_layer_indexes(corpus: DataFrame) -> dict[str, TextIndex]:
+    """A text index for each layer of ``corpus``, to be handed to ``retrieve`` again and again."""
+    return {layer: build_text_index(corpus.filter(F.col("layer") == layer)) for layer in LAYERS}
+
+
+def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memory: DataFrame | None = None, tier: str = "simple", prefix: str = "nflx", indexes: dict[str, TextIndex] | None = None) -> DataFrame:
     """One retrieval for every slot: both channels with filter, top-k, second filter and memory, then fusion.
 
     ``corpus`` has (id, seq, layer, text, vector, period, source_document); ``slots`` (slot_id, query, period_filter).
@@ -137,8 +245,11 @@ def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memo
     within = lambda rows, rank, most: rows.join(limits, "slot_id").filter(F.col(rank) <= F.col(most)).drop("_k", "_n")
     k, n = max(V.CHANNEL_K.values()), max(V.FUSED_N.values())
     channels = []
-    for scores in (lambda c: cosine_scores(c, query_vectors), lambda c: bm25_scores(c, slots).filter("score > 0")):
-        ranked = [within(top_k(eligible(scores(part := corpus.filter(F.col("layer") == layer)), part, slots, layer, prefix), k), "rank", "_k") for layer in ("fact", "chunk")]
+    indexes = indexes or build_layer_indexes(corpus)
+    # Without any filter a batch's best rows are enough; with one, rows that the filter keeps may be far down.
+    most = k if slots.filter("period_filter IS NOT NULL").isEmpty() else None
+    for scores in (lambda layer, part: cosine_scores(part, query_vectors, most), lambda layer, part: bm25_scores(indexes[layer], slots).filter("score > 0")):
+        ranked = [within(top_k(eligible(scores(layer, part := corpus.filter(F.col("layer") == layer)), part, slots, layer, prefix), k), "rank", "_k") for layer in LAYERS]
         kept = after_filter(concatenate_layers(*ranked), prefix)
         channels.append(exclude(kept, memory) if memory is not None else kept.withColumn("rank", F.row_number().over(Window.partitionBy("slot_id").orderBy("rank"))))
     return within(fuse(channels[0], channels[1], n), "fused_rank", "_n")

@@ -46,19 +46,14 @@ FACTS_SQL = """facts AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-def plain(text):
-    """Letters beyond ASCII become spaces: boundaries then mean the same in every engine's regular expressions."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", " ")
-
-
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq, text) of all documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), plain(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "text")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(slot_id, query) of all benchmark passages."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("slot_id"), plain(F.col("text")).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("slot_id"), F.col("text").alias("query"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +68,16 @@ VERDICTS_SQL = """verdicts AS (
   SELECT user_id % 50 AS run_id, user_id AS slot_id, event_id, ts, value AS coverage, event_id % 3 AS n_supported,
     CASE WHEN event_type IN ('click', 'view') THEN 'covered' WHEN event_type = 'signup' THEN 'gap' WHEN event_type = 'purchase' THEN 'contradiction' ELSE 'exhausted' END AS verdict
   FROM events)"""
-PASSAGES_SQL = "passages AS (SELECT doc_id AS id, doc_id AS seq, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)"
-QUESTIONS_SQL = "questions AS (SELECT item_id AS slot_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS query FROM benchmark)"
+PASSAGES_SQL = "passages AS (SELECT doc_id AS id, doc_id AS seq, text FROM documents)"
+QUESTIONS_SQL = "questions AS (SELECT item_id AS slot_id, text AS query FROM benchmark)"
+
+
+def ascii_sql(text: str) -> str:
+    """SQL for ``text`` with letters, marks and digits beyond ASCII as underscores and all else beyond ASCII as spaces.
+
+    A word boundary of an engine that knows ASCII only is then where one of Unicode was, and patterns for ASCII words and
+    numbers match the same. The Spark side matches on the text itself.
+    """
+    for kind in "LMN":
+        text = f"regexp_replace({text}, '[^\\x00-\\x7F\\P{{{kind}}}]', '_', 'g')"
+    return f"regexp_replace({text}, '[^\\x00-\\x7F]', ' ', 'g')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -84,7 +85,8 @@ def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str =
     """Numeric facts of tagged instances: one row for each fact with a known context and a number.
 
     Prefixes come from the instance's own declarations and facts join contexts and units by id inside one document, so
-    this is a map over documents (``mapInArrow``); XPath functions return one node at a time and would not do.
+    this is a map over documents (``mapInArrow``); XPath functions return one node at a time and would not do. An instance
+    that is not well-formed has no rows (``malformed_xbrl`` lists them); NaN and infinite values are no numbers.
     """
     import io
 
@@ -95,11 +97,14 @@ def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str =
 
     def parse(xml: str) -> list[dict]:
         prefixes, root = {}, None
-        for event, item in ET.iterparse(io.StringIO(xml), events=("start-ns", "start")):
-            if event == "start-ns":
-                prefixes.setdefault(item[1], item[0])
-            elif root is None:
-                root = item
+        try:
+            for event, item in ET.iterparse(io.StringIO(xml), events=("start-ns", "start")):
+                if event == "start-ns":
+                    prefixes.setdefault(item[1], item[0])
+                elif root is None:
+                    root = item
+        except ET.ParseError:
+            return []
         contexts, units, out = {}, {}, []
         for node in root.iter():
             kind = local(node.tag)
@@ -118,6 +123,8 @@ def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str =
                 value = float(text)
             except ValueError:
                 continue
+            if not math.isfinite(value):
+                continue
             instant, start, end, own = contexts[ref]
             space = node.tag[1:].split("}")[0] if node.tag[0] == "{" else ""
             digits = node.get("decimals") or ""
@@ -126,7 +133,7 @@ def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str =
 
     def run(batches):
         for batch in batches:
-            rows = [(i, r) for i, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if xml for r in parse(xml)]
+            rows = [(i.as_py(), r) for i, xml in zip(batch.column(0), batch.column(1), strict=True) if xml.is_valid for r in parse(xml.as_py())]
             fields = ("concept", "unit", "decimals", "value", "instant", "period_start", "period_end")
             kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string())
             columns = [pa.array([i for i, _ in rows], pa.string())] + [pa.array([r[f] for _, r in rows], k) for f, k in zip(fields, kinds, strict=True)]
@@ -136,6 +143,24 @@ def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str =
     return made.withColumns({c: F.try_to_date(c, "yyyy-MM-dd") for c in ("instant", "period_start", "period_end")})
 
 
+def malformed_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str = "xml") -> DataFrame:
+    """(id, error) of the instances that are not well-formed, for a report."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            ids, errors = [], []
+            for i, xml in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    ET.fromstring(xml.as_py() or "")
+                except ET.ParseError as e:
+                    ids.append(i.as_py())
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(errors, pa.string())], names=[id_col, "error"])
+
+    return documents.select(F.col(id_col).cast("string").alias(id_col), xml_col).mapInArrow(run, f"{id_col} string, error string")
+
+
 def read_traces(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Trace documents, bare or wrapped in an object with the one field ``canonical``."""
     raw = spark.read.text(path, wholetext=True)

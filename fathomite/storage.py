@@ -17,12 +17,15 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local folder made; it goes at exit.
+    Only where the session names none and runs in one process (tests, a laptop) is a local folder made; it goes at exit.
+    On a cluster each executor would write to its own disk, so there a session without a shared folder is refused.
     """
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="fathomite-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)

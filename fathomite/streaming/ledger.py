@@ -22,9 +22,17 @@ def coverage_windows(events: DataFrame, slot: str, score: str, event_time: str,
 
 
 def ingest(stream: DataFrame, sink_path: str, checkpoint: str, key: str = "source_document"):
-    """Write a stream of facts by document; a batch that is run again replaces its own documents only."""
+    """Write a stream of facts by batch and document. A batch that is run again replaces what it wrote itself and nothing
+    else, so facts of one document may come in any number of files; ``ingested`` reads them back."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(sink_path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("document", F.col(key)).write.mode("overwrite").partitionBy("document").parquet(f"{sink_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, sink_path: str, key: str = "source_document", fact: str = "fact_id") -> DataFrame:
+    """What ``ingest`` has written: of facts with one id in one document, the one of the last batch, for reruns of a file."""
+    rows = spark.read.parquet(sink_path).drop("document")
+    own = [c for c in rows.columns if c not in (key, fact, "batch")]
+    return rows.groupBy(key, fact).agg(F.max_by(F.struct(*own), "batch").alias("_r")).select(key, fact, "_r.*")

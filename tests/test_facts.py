@@ -109,3 +109,12 @@ def test_validation_reports(spark):
     got = {r.document_id: r.assertion_date for r in FA.assertion_dates(ends, letters).collect()}
     assert got == {"t1": DAY(2024, 1, 18), "t2": DAY(2023, 10, 18), "t3": DAY(2023, 7, 19)}
     assert FA.index_projection(table.withColumn("fact_id", F.lit("x-EMEA"))).first().region == "EMEA"
+
+
+def test_anchors_short_cut_and_repeated(spark):
+    docs = spark.createDataFrame([(1, "The quick  brown fox jumps over the lazy dog and runs away at once"), (2, "a fox\njumps over the lazy dog"), (3, None), (4, "")], "document_id long, text string")
+    anchors = [("a", "fox"), ("b", "ick brown fox jum"), ("c", "JUMPS over the"), ("d", "fox jumps"), ("e", "umps over the lazy do"), ("f", "no such words here"), ("g", " "), ("h", None), ("i", "quick  brown fox jumps over the lazy dog and runs"), ("j", "dog (and"), ("k", "fox jumps over the lazy dog")]
+    got = FA.located_anchors(docs, spark.createDataFrame(anchors + [("l", "fox")], "anchor_id string, anchor string"))
+    want = {("a", 1), ("a", 2), ("l", 1), ("l", 2), ("b", 1), ("c", 1), ("c", 2), ("d", 1), ("d", 2), ("e", 1), ("e", 2), ("i", 1), ("k", 1), ("k", 2)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert FA.located_anchors(docs.limit(0), spark.createDataFrame(anchors, "anchor_id string, anchor string")).count() == 0
