@@ -189,3 +189,17 @@ CONCEPTS = {
 GEOGRAPHIC_AXIS, PRODUCT_AXIS, NOOP_MEMBER = "srt:StatementGeographicalAxis", "srt:ProductOrServiceAxis", "nflx:StreamingMember"
 REGIONS = {"nflx:UnitedStatesAndCanadaMember": "UCAN", "us-gaap:EMEAMember": "EMEA", "srt:LatinAmericaMember": "LATAM", "srt:AsiaPacificMember": "APAC"}
 COUNT_UNITS, PER_SHARE_UNITS = ("shares", "pure", "membership", "segment"), ("USDPerShare", "USDPershares")
+
+# --- Fixed values: texts of decisions that a run takes without a model ------------------------------------------------------
+GAP_NO_CANDIDATES = "Retriever returned no candidates."
+GAP_ALL_REJECTED = "No candidates survived deterministic period/numerical pre-filters. Retry with reformulated query terms or broader period scope."
+CLARIFICATION_TEXT = (
+    "I can't answer this question from the Netflix corpus available to me — no verified evidence was found across the planned retrieval slots. "
+    "Narrow the question to a specific metric, period, or filing so I can ground the answer in primary sources."
+)
+HARD_HALT_TEXT = "The run halted before an answer could be generated. The cause is recorded on the trace's degradation_cause field."
+RETRY_HEAD = "The Governance gate flagged the following issues:"
+RETRY_TAIL = (
+    "Revise the answer_text to surface every flagged refutation per the system prompt's refutation handling rules. "
+    "Do NOT alter any numerical claim — those passed."
+)

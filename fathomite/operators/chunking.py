@@ -44,8 +44,9 @@ def chunk_arrays(text: Column, size: int = V.CHUNK_WORDS, overlap: int = V.CHUNK
     return F.aggregate(counted, start, step, lambda st: F.when(F.size(st["cur"]) > 0, F.concat(st["out"], F.array(joined(st["cur"])))).otherwise(st["out"]))
 
 
-def chunks(sections: DataFrame, skip: tuple[str, ...] = (), size: int = V.CHUNK_WORDS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
-    """Chunk records of sections (document_id, section, text); skipped, null and blank sections have none."""
+def chunks(sections: DataFrame, skip: tuple[str, ...] = V.SKIPPED_SECTIONS, size: int = V.CHUNK_WORDS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
+    """Chunk records of sections (document_id, section, text); skipped sections (by default the statements and other parts
+    without prose), null and blank ones have none."""
     rows = sections.filter(~F.col("section").isin(*skip)) if skip else sections
     rows = rows.select("document_id", "section", F.posexplode(chunk_arrays(F.coalesce("text", F.lit("")), size, overlap)).alias("position_index", "text"))
     return rows.select(

@@ -233,3 +233,57 @@ def valid_hypotheses(hypotheses: DataFrame, verified: DataFrame, tier: str = "si
     per = rows.groupBy("run_id").agg(F.count("*").alias("n"), F.countDistinct("targets_claim_id").alias("d"), F.bool_or(F.col("fact_type").isNull()).alias("odd"), F.bool_or(F.try_element_at(table, F.col("fact_type")) != F.col("strategy")).alias("off"))
     fault = F.when(F.col("n") != V.HYPOTHESES[tier], "count").when(F.col("odd"), "unknown_target").when(F.col("d") < F.col("n"), "repeated_target").when(F.col("off"), "strategy")
     return per.select("run_id", fault.alias("fault"))
+
+
+# --- Verification ------------------------------------------------------------------------------------------------------
+def ids_of_labels(given: Column, candidates: Column) -> Column:
+    """``given`` ids with ``[Cn]`` or ``Cn`` replaced by the nth of ``candidates``; labels beyond these are dropped."""
+    label = r"(?i)^\s*\[?C(\d+)\]?\s*$"
+    nth = lambda g: F.regexp_extract(g, label, 1).try_cast("int")
+    named = F.transform(given, lambda g: F.when(g.rlike(label), F.when(nth(g) > 0, F.get(candidates, nth(g) - 1))).otherwise(g))
+    return F.filter(named, lambda g: g.isNotNull())
+
+
+def merged_verdict(verdicts: DataFrame, rejected: str = "rejected", ruled_out: str = "ruled_out") -> DataFrame:
+    """``verdicts`` with the candidates that rules have ruled out before those that the judge rejects, each once."""
+    none = F.array().cast("array<string>")
+    return verdicts.withColumn(rejected, F.array_distinct(F.concat(F.coalesce(ruled_out, none), F.coalesce(rejected, none)))).drop(ruled_out)
+
+
+def violations(answers: DataFrame, claims: DataFrame, facts: DataFrame, hypotheses: DataFrame, disclosed: DataFrame) -> DataFrame:
+    """(run_id, severity, subject, message): what stops or changes an answer, all checks together.
+
+    ``answers``: (run_id, adversarially_probed, expected_adversarially_probed); ``claims``: (run_id, claim_id, claim_text,
+    claim_type, source_ids); ``hypotheses`` and ``disclosed`` as in ``undisclosed``, with run_id.
+    """
+    numeric = numeric_violations(claims, facts).join(claims.select("run_id", "claim_id"), "claim_id")
+    numeric = numeric.select("run_id", F.lit("numerical_mismatch").alias("severity"), F.col("claim_id").cast("string").alias("subject"), F.concat(F.lit("number without source: "), "token").alias("message"))
+    hidden = hypotheses.filter("refutation_verdict <> 'unrefuted'").join(disclosed.select("run_id", "targets_claim_id", "strategy").distinct(), ["run_id", "targets_claim_id", "strategy"], "left_anti")
+    hidden = hidden.select("run_id", F.lit("undisclosed_refutation").alias("severity"), F.col("targets_claim_id").cast("string").alias("subject"), F.concat(F.lit("not disclosed: "), "strategy").alias("message"))
+    badge = wrong_badges(answers).select("run_id", F.lit("badge_mismatch").alias("severity"), F.lit(None).cast("string").alias("subject"), F.lit("the badge does not tell whether the answer was probed").alias("message"))
+    return numeric.unionByName(hidden).unionByName(badge)
+
+
+def retry_text(found: DataFrame) -> DataFrame:
+    """(run_id, feedback): the violations of a run as the text of a retry, in the order of severity, subject and message."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("severity", "subject", "message"))), lambda v: F.concat(F.lit("  - ["), v["severity"], F.lit("] "), v["message"]))
+    return found.groupBy("run_id").agg(F.array_join(F.concat(F.array(F.lit(V.RETRY_HEAD)), lines, F.array(F.lit(V.RETRY_TAIL))), "\n").alias("feedback"))
+
+
+def canned_answer(level: Column) -> Column:
+    """The text of an answer that is given without a generator, null for levels that call one."""
+    return F.when(level == "HARD_HALT", V.HARD_HALT_TEXT).when(level == "CLARIFICATION_REQUEST", V.CLARIFICATION_TEXT)
+
+
+def refutation_intensity(hypotheses: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, intensity) of every run: strong, weak or none by its worst hypothesis, bypassed without any report."""
+    grade = F.when(F.col("refutation_verdict") == "strongly_refuted", 2).when(F.col("refutation_verdict") == "weakly_refuted", 1).otherwise(0)
+    worst = hypotheses.groupBy("run_id").agg(F.max(grade).alias("_g"))
+    return runs.select("run_id").join(worst, "run_id", "left").select("run_id", F.when(F.col("_g") == 2, "strong").when(F.col("_g") == 1, "weak").when(F.col("_g") == 0, "none").otherwise("bypassed").alias("intensity"))
+
+
+def new_hypotheses(proposed: DataFrame, known: DataFrame) -> DataFrame:
+    """Proposed hypotheses of a run whose text it has not had before, each text once: the least id of equals."""
+    fresh = proposed.join(known.select("run_id", "hypothesis_text").distinct(), ["run_id", "hypothesis_text"], "left_anti")
+    least = fresh.groupBy("run_id", "hypothesis_text").agg(F.min("hypothesis_id").alias("hypothesis_id"))
+    return fresh.join(least, ["run_id", "hypothesis_text", "hypothesis_id"], "left_semi").dropDuplicates(["run_id", "hypothesis_text"])
