@@ -48,7 +48,8 @@ def test_one_of_each_group_of_edited_copies(spark, seed, monkeypatch):
     want = {min(rows[i][0] for i in range(len(rows)) if groups[i] == g) for g in groups}
     got = [r.doc_id for r in op.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, prefix string")).collect()]
     assert sorted(got) == sorted(want) and len(want) < len(rows) - 25
-    monkeypatch.setattr(op, "COMMON", 1)
+    monkeypatch.setattr(op, "SKETCH_BITS", 1)
+    monkeypatch.setattr(op, "HEADS", 0)
     assert sorted(r.doc_id for r in op.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, prefix string")).collect()) == sorted(want)
 
 
@@ -71,3 +72,20 @@ def test_pipeline_stage(spark):
     for (doc, _), g in zip(rows, groups, strict=True):
         least[g] = min(doc, least.get(g, doc))
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, sf).collect()) == sorted(least.values())
+
+
+def test_parity_bits_never_refuse_a_similar_pair(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(60):
+        text = " ".join(rng.choices([f"w{i}" for i in range(500)], k=rng.randint(20, 400)))
+        pairs.append((text, edited(rng, text, rng.randint(0, 12))))
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    docs = spark.createDataFrame(rows, "row long, text string")
+    sketch = op.frequency_sketch(docs, "text")
+    made = {r.row: r for r in op.signatures(docs, "row", "text", sketch).collect()}
+    assert sketch.sum() == sum(len(op.shingle_set(t)) for _, t in rows)
+    differ = lambda x, y: sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(x.bits, y.bits, strict=True))
+    allowed = [(op.DEN + op.NUM) * differ(x, y) <= (op.DEN - op.NUM) * (x.n + y.n) for x, y in ((made[2 * i], made[2 * i + 1]) for i in range(60))]
+    similar = [op.is_similar(op.shingle_set(a), op.shingle_set(b)) for a, b in pairs]
+    assert 0 < sum(similar) < 60 and all(a for a, s in zip(allowed, similar, strict=True) if s)
