@@ -125,15 +125,17 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``rows`` by the blocks that they fill, with words, how many of the block's are the row's own, and shards, those
-    that hold the block (an array, with repeats, of at most CAP).
+    """(sid, offset, size, block, words, shards): rows by the blocks that they fill, with how many of the block's words are
+    theirs and the shards that hold the block (an array, with repeats, of at most CAP).
+
+    A row with words is known by sid and offset, so its key need not be carried through these shuffles.
 
     The merge hint is needed: by its statistics the unrolled table of slots is as small as the table of sources, and
     would be broadcast.
     """
     held = slots(sources, materialize(shard_counts(sources), "draw")).groupBy("sid", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     first, last = F.floor(F.col("offset") / BLOCK), F.floor((F.col("offset") + F.col("size") - 1) / BLOCK)
-    parts = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last))).join(held.hint("merge"), ["sid", "block"], "left")
+    parts = rows.filter("size > 0").select("sid", "offset", "size", F.explode(F.sequence(first, last)).alias("block")).join(held.hint("merge"), ["sid", "block"], "left")
     words = F.least((F.col("block") + 1) * BLOCK - F.col("offset"), F.col("size")) - F.greatest(F.col("block") * BLOCK - F.col("offset"), F.lit(0))
     return parts.withColumns({"words": words, "shards": F.coalesce("shards", F.array().cast("array<bigint>"))})
 
@@ -149,9 +151,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = materialize(targets(sizes), "sources")
     rows = materialize(placed(sizes, sources), "placed")
     own = F.transform("shards", lambda s: F.concat_ws(":", s.cast("string"), F.col("block").cast("string")))
-    taken = _pieces(rows, sources).groupBy("sid", "offset").agg(
-        F.first("key").alias("key"), F.first("size").alias("size"), F.sum(F.col("words") * F.size("shards")).alias("taken"), F.flatten(F.collect_list(own)).alias("places")
-    )
+    taken = _pieces(rows, sources).groupBy("sid", "offset").agg(F.sum(F.col("words") * F.size("shards")).alias("taken"), F.flatten(F.collect_list(own)).alias("places"))
+    taken = taken.join(rows.filter("size > 0").select("sid", "offset", "key", "size").hint("merge"), ["sid", "offset"])
     empty = rows.filter("size = 0").select("sid", "key", "size", F.lit(0).cast("bigint").alias("taken"), F.array().cast("array<string>").alias("places"))
     made = taken.select("sid", "key", "size", "taken", "places").unionByName(empty)
     shards = F.array_distinct(F.transform("places", lambda p: F.substring_index(p, ":", 1)))
@@ -181,10 +182,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     sizes = materialize(sized(docs, id_col, text_col, source_col), "sizes")
     sources = materialize(targets(sizes), "sources")
-    rows = placed(sizes, sources)
+    rows = materialize(placed(sizes, sources), "placed")
     pieces = _pieces(rows, sources).filter(F.size("shards") > 0)
     piece = F.struct("block", "words", "shards")
-    picks = pieces.groupBy("sid", "offset").agg(F.first("key").alias("key"), F.first("size").alias("size"), F.sort_array(F.collect_list(piece)).alias("picks"))
+    picks = pieces.groupBy("sid", "offset").agg(F.sort_array(F.collect_list(piece)).alias("picks")).join(rows.filter("size > 0").select("sid", "offset", "key", "size").hint("merge"), ["sid", "offset"])
     texts = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col, source_col).alias("key")).dropDuplicates(["key"])
     again = texts.join(picks.select("key", "offset", "size", "picks"), "key").withColumn("text", F.col("row")[text_col])
     n_words = F.aggregate("picks", F.lit(0).cast("bigint"), lambda n, p: n + p["words"])
