@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: Pre-tokens remembered by a worker; all are forgotten when it is full. This bounds memory, not results.
-REMEMBERED = 600_000
+#: Pre-tokens remembered by a worker, and the characters that one may have for it; all are forgotten when it is full.
+#: Together they bound memory in bytes, and change no result.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 
 
 class RankQueue:
@@ -125,17 +126,24 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         known, pieces = self.known, self.pattern.findall(text or "")
+        long: dict[str, tuple[int, ...]] = {}
         for piece in set(pieces).difference(known):
+            if len(piece) > REMEMBERED_CHARS:
+                long[piece] = tuple(self.merge(piece.encode()))
+                continue
             if len(known) >= REMEMBERED:
                 known.clear()
                 return self._encode_afresh(pieces)
             known[piece] = tuple(self.merge(piece.encode()))
+        if long:
+            return list(chain.from_iterable(known[p] if p in known else long[p] for p in pieces))
         return list(chain.from_iterable(map(known.__getitem__, pieces)))
 
     def _encode_afresh(self, pieces: list[str]) -> list[int]:
         own = {piece: tuple(self.merge(piece.encode())) for piece in set(pieces)}
-        if len(own) < REMEMBERED:
-            self.known.update(own)
+        short = {piece: ids for piece, ids in own.items() if len(piece) <= REMEMBERED_CHARS}
+        if len(short) < REMEMBERED:
+            self.known.update(short)
         return list(chain.from_iterable(map(own.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
