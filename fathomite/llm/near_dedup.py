@@ -190,11 +190,12 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each group of near-duplicates: the one with the least id.
 
     Null and empty texts are alike. A text of fewer words than a shingle has one shingle of all of them. Rows that
-    repeat the kept id and text come once. Rows with a null id cannot be told apart and are all kept.
+    repeat the kept id and text come once. Rows with a null id cannot be told apart and are all kept. Columns may have any
+    names; an empty table gives none.
     """
-    rows = with_row_key(docs, id_col, text_col)
-    own = materialize(signatures(rows, "_row", text_col, frequency_sketch(rows, text_col, shingle), shingle), "signatures")
-    roots = similar_links(rows, own, "_row", text_col, shingle)
-    least = own.filter(F.col("_row")[id_col].isNotNull()).groupBy("key").agg(F.min("_row").alias("_row"))
-    grouped = least.join(roots, "key", "left").select("_row", F.coalesce("root", "key").alias("group"))
-    return one_of_each(rows, grouped, id_col).select(*docs.columns)
+    rows, key = with_row_key(docs, id_col, text_col)
+    own = materialize(signatures(rows, key, text_col, frequency_sketch(rows, text_col, shingle), shingle), "signatures")
+    roots = similar_links(rows, own, key, text_col, shingle)
+    least = own.filter(F.col(key)["id"].isNotNull()).groupBy("key").agg(F.min(key).alias(key))
+    grouped = least.join(roots, "key", "left").select(key, F.coalesce("root", "key").alias("group"))
+    return one_of_each(rows, key, grouped, id_col).select(*docs.columns)

@@ -211,21 +211,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the component's least id.
 
-    Rows that repeat the kept id come once. Rows with a null id cannot be told apart and are all kept.
+    Ids may repeat with different texts; of rows with the least id the text whose hash is least stays. Rows that repeat
+    the kept id and text come once. Rows with a null id cannot be told apart and are all kept. Columns may have any names.
     """
-    found = near_duplicates(docs, id_col, text_col, threshold, shingle)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
-
-
-def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with _row, the id beside a hash of the text: ids may repeat with different texts."""
-    return docs.withColumn("_row", F.struct(F.col(id_col), F.xxhash64(text_col).alias("_text_hash")))
-
-
-def one_of_each(rows: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``with_row_key`` whose _row is the least of its group in ``grouped`` (_row, group), once each, and
-    those with a null id."""
-    keep = grouped.groupBy("group").agg(F.min("_row").alias("_row")).select("_row").distinct()
-    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(rows.filter(F.col(id_col).isNull()))
+    rows, key = with_row_key(docs, id_col, text_col)
+    found = near_duplicates(rows.filter(F.col(id_col).isNotNull()).select(F.col(key).alias("row"), F.col(text_col).alias("text")), "row", "text", threshold, shingle)
+    keep = found.filter(F.col("row") == F.col("component_id")).select(F.col("row").alias(key), F.col("row").alias("group"))
+    return one_of_each(rows, key, keep, id_col).select(*docs.columns)
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that has the id beside a hash of the text (ids may repeat with different texts), and that
+    column's name, which none of ``docs`` has."""
+    name = "_row"
+    while name in map(str.lower, docs.columns):
+        name = "_" + name
+    return docs.withColumn(name, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))), name
+
+
+def one_of_each(rows: DataFrame, key: str, grouped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``with_row_key`` whose key is the least of its group in ``grouped`` (key, group), once each, and those
+    with a null id."""
+    keep = grouped.groupBy("group").agg(F.min(key).alias(key)).select(key).distinct()
+    return rows.join(keep, key, "left_semi").dropDuplicates([key]).unionByName(rows.filter(F.col(id_col).isNull()))

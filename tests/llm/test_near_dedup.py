@@ -89,3 +89,14 @@ def test_parity_bits_never_refuse_a_similar_pair(spark):
     allowed = [(op.DEN + op.NUM) * differ(x, y) <= (op.DEN - op.NUM) * (x.n + y.n) for x, y in ((made[2 * i], made[2 * i + 1]) for i in range(60))]
     similar = [op.is_similar(op.shingle_set(a), op.shingle_set(b)) for a, b in pairs]
     assert 0 < sum(similar) < 60 and all(a for a, s in zip(allowed, similar, strict=True) if s)
+
+
+def test_names_may_clash_and_ids_repeat(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(2, text, "k1"), (1, text, "k2"), (1, "other words here", "k3"), (None, text, "k4"), (None, None, "k5"), (1, text, "k6")]
+    docs = spark.createDataFrame([(i, t, x, 1, 2, 3, 4, 5) for i, t, x in rows], "doc_id long, text string, _row string, key int, token int, root int, bits int, fp int")
+    for keep in (op.keep_one_similar, __import__("fathomite.llm.simhash_anchor", fromlist=["x"]).keep_one):
+        made = keep(docs)
+        assert made.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in made.collect()) == sorted([(1, text), (1, "other words here"), (0, text), (0, "")])
+        assert keep(docs.limit(0)).count() == 0
