@@ -194,21 +194,25 @@ def anchor_check(facts: DataFrame, texts: DataFrame) -> DataFrame:
 def located_anchors(documents: DataFrame, anchors: DataFrame, id_col: str = "document_id", text_col: str = "text", anchor_id: str = "anchor_id", anchor_col: str = "anchor") -> DataFrame:
     """(anchor id, document id) wherever ``T.locate_anchor`` finds an anchor in a text.
 
-    An anchor's first and last word may be cut, and letters may be of either case; all its words between are whole words
+    An anchor's first and last word may be cut, and letters may be of either case (equal in lower case); all its words between are whole words
     of a text that holds it. So documents are looked up by the rarest of these, and only the pairs found so are searched.
-    Anchors of fewer than three words, the stated set of short queries, are searched in all texts.
+    Anchors of fewer than five words, whose words may all be common, are a stated set of short queries against all texts.
     """
     words = lambda c: F.split(T.collapse(F.lower(c)), " ")
     asked = anchors.filter(T.strip(F.col(anchor_col)) != "").select(F.col(anchor_id).alias("_a"), F.col(anchor_col).alias("_anchor"))
     asked = asked.withColumn("_w", words(F.col("_anchor"))).withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
     texts = documents.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
-    inner = asked.select("_a", F.explode(F.array_distinct("_w")).alias("_word"))
+    inner = asked.filter(F.size("_w") >= 3).select("_a", F.explode(F.array_distinct("_w")).alias("_word"))
     held = texts.select("_d", F.explode(F.array_distinct(words(F.col("_text")))).alias("_word")).join(inner.select("_word").distinct(), "_word", "left_semi")
     often = held.groupBy("_word").agg(F.count("*").alias("_n"))
     key = inner.join(often, "_word", "left").groupBy("_a").agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_word")).alias("_word"))
     pairs = held.join(key, "_word").select("_a", "_d").distinct()
-    whole = pairs.join(texts, "_d").join(asked.select("_a", "_anchor"), "_a")
-    short = asked.filter(F.size("_w") == 0).select("_a", "_anchor")
-    short = texts.join(short.hint("broadcast") if short.limit(1000).count() < 1000 else short, F.contains(F.lower("_text"), F.lower(F.element_at(F.split(T.collapse(F.col("_anchor")), " "), 1)))).select("_a", "_d", "_text", "_anchor")
-    found = whole.select("_a", "_d", "_text", "_anchor").unionByName(short).filter(T.locate_anchor(F.col("_text"), F.col("_anchor")).isNotNull())
+    # What any spelling of an anchor has in common, searched as plain text, leaves few pairs to the patterns.
+    texts = texts.withColumn("_flat", F.lower(T.collapse(F.col("_text"))))
+    asked = asked.withColumn("_low", F.lower(T.collapse(F.col("_anchor"))))
+    inside = F.contains("_flat", F.col("_low"))
+    whole = pairs.join(texts, "_d").join(asked.select("_a", "_anchor", "_low"), "_a").filter(inside)
+    short = asked.filter(F.size("_w") < 3).select("_a", "_anchor", "_low")
+    short = texts.join(short.hint("broadcast") if short.limit(1000).count() < 1000 else short, inside)
+    found = whole.select("_a", "_d", "_text", "_anchor").unionByName(short.select("_a", "_d", "_text", "_anchor")).filter(T.locate_anchor(F.col("_text"), F.col("_anchor")).isNotNull())
     return found.select(F.col("_a").alias(anchor_id), F.col("_d").alias(id_col)).distinct()

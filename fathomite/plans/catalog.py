@@ -168,14 +168,14 @@ def q_jaccard(spark, sf_dir):
 _LOOSE_SQL = r"regexp_matches(d.text, '(?i)' || regexp_replace(regexp_escape({}), '(\\\s)+', '\\s+', 'g'))"
 
 
-@query(f"""WITH a AS (SELECT item_id, text AS anchor FROM benchmark UNION ALL SELECT item_id + 100000, lower(array_to_string(string_split(text, ' ')[2:5], '  ')) FROM benchmark
-  UNION ALL SELECT item_id + 200000, substr(text, 3, 9) FROM benchmark)
+@query(f"""WITH a AS (SELECT item_id, text AS anchor FROM benchmark UNION ALL SELECT item_id + 100000, lower(array_to_string(string_split(text, ' ')[2:10], '  ')) FROM benchmark
+  UNION ALL SELECT item_id + 200000, substr(text, 3, 60) FROM benchmark)
 SELECT item_id, count(*) AS n_documents, min(doc_id) AS first_document FROM a JOIN documents d ON contains(d.text, trim(anchor)) OR {_LOOSE_SQL.format("trim(anchor)")} GROUP BY item_id""")
 def q_anchor_locate(spark, sf_dir):
-    """Benchmark passages as they are, four words of each in lower case and with other spaces, and nine characters of each."""
+    """Benchmark passages as they are, nine words of each in lower case and with other spaces, and sixty characters of each."""
     b = table(spark, sf_dir, "benchmark")
-    some = F.lower(F.array_join(F.slice(F.split("text", " "), 2, 4), "  "))
-    anchors = b.select("item_id", F.col("text").alias("anchor")).unionByName(b.select((F.col("item_id") + 100000).alias("item_id"), some.alias("anchor"))).unionByName(b.select((F.col("item_id") + 200000).alias("item_id"), F.substring("text", 3, 9).alias("anchor")))
+    some = F.lower(F.array_join(F.slice(F.split("text", " "), 2, 9), "  "))
+    anchors = b.select("item_id", F.col("text").alias("anchor")).unionByName(b.select((F.col("item_id") + 100000).alias("item_id"), some.alias("anchor"))).unionByName(b.select((F.col("item_id") + 200000).alias("item_id"), F.substring("text", 3, 60).alias("anchor")))
     found = FA.located_anchors(table(spark, sf_dir, "documents"), anchors, "doc_id", "text", "item_id", "anchor")
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
 
