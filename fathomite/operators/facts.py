@@ -86,15 +86,20 @@ def restatements(facts: DataFrame) -> DataFrame:
 def restated(facts: DataFrame) -> DataFrame:
     """(fact_id, n_later): the facts that some later assertion of another value refutes, without making the pairs.
 
-    A fact is refuted iff among the later rows of its period and concept there is a value other than its own, i.e. iff
-    their least or greatest value differs. Both come from one window by date; the count is that of later rows less
-    those with the same value.
+    The later rows of its period and concept are counted, less those with the same value. Rows are first counted by
+    period, concept, value and date, so that the windows hold counts by date, however many rows a concept has; the
+    counts are joined back by all four keys. A fact without value, concept or date neither refutes nor is refuted.
     """
     tag = F.nullif(F.lower(F.trim("concept_tag")), F.lit(""))
-    rows = facts.filter(F.col("value").isNotNull() & tag.isNotNull()).select("fact_id", "value", "assertion_date", F.coalesce("period", F.lit("")).alias("_p"), tag.alias("_k"))
-    later = Window.partitionBy("_p", "_k").orderBy(F.datediff("assertion_date", F.lit("1970-01-01")).desc()).rangeBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("_p", "_k", "value").orderBy(F.datediff("assertion_date", F.lit("1970-01-01")).desc()).rangeBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("n_later", F.count("*").over(later) - F.count("*").over(same)).filter("n_later > 0").select("fact_id", "n_later")
+    known = F.col("value").isNotNull() & tag.isNotNull() & F.col("assertion_date").isNotNull()
+    rows = facts.filter(known).select("fact_id", "value", F.to_date("assertion_date").alias("_d"), F.coalesce("period", F.lit("")).alias("_p"), tag.alias("_k"))
+    by_value = rows.groupBy("_p", "_k", "value", "_d").agg(F.count("*").alias("_c"))
+    by_date = by_value.groupBy("_p", "_k", "_d").agg(F.sum("_c").alias("_c"))
+    before = lambda *keys: F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = by_date.select("_p", "_k", "_d", before("_p", "_k").alias("_later"))
+    same = by_value.select("_p", "_k", "value", "_d", before("_p", "_k", "value").alias("_same"))
+    counted = same.join(later, ["_p", "_k", "_d"]).withColumn("n_later", F.col("_later") - F.col("_same")).filter("n_later > 0")
+    return rows.join(counted, ["_p", "_k", "value", "_d"]).select("fact_id", "n_later")
 
 
 def passes_strong_gates(strategy: Column, target_date: Column) -> Column:
@@ -146,11 +151,14 @@ def coverage(facts: DataFrame, doc: str = "source_document", concept: str = "con
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
     """Percentiles without interpolation: the value at place round((n - 1) * p), half to even, of each group.
 
-    Values are counted by rank, not gathered: no group is collected into an array.
+    Equal values are counted before the shuffle; a window then holds distinct values with their running counts, and no
+    group is collected into an array. Null values are left out; a null group is a group.
     """
     w = Window.partitionBy(by)
-    placed = rows.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    pick = lambda p: F.max(F.when(F.col("_i") == F.bround((F.col("_n") - 1) * p).cast("int"), F.col(value))).alias(f"p{round(p * 100)}")
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    placed = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda p: F.bround((F.col("_n") - 1) * p).cast("bigint")
+    pick = lambda p: F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}")
     return placed.groupBy(by).agg(*map(pick, shares))
 
 

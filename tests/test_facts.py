@@ -26,6 +26,22 @@ def test_restatement_cases(spark):
     assert {(r.fact_id, r.n_later) for r in FA.restated(table).collect()} == {("f1", 1), ("f4", 3)}
 
 
+def test_restated_counts_repeats_and_leaves_out_undated_rows(spark):
+    early, later = DAY(2022, 6, 1), DAY(2024, 6, 1)
+    rows = [fact("f1", 1.0, early), fact("f3", 2.0, later), fact("f4", 2.0, later), fact("f5", 2.0, later), fact("f2", 1.0, early), fact("f6", 9.0, None), fact("f7", 1.0, later)]
+    table = spark.createDataFrame(rows, COLUMNS)
+    got = [(r.fact_id, r.n_later) for r in FA.restated(table).collect()]
+    pairs = [r.target_id for r in FA.restatements(table).collect()]
+    assert sorted(got) == [("f1", 3), ("f2", 3)] == sorted((t, pairs.count(t)) for t in set(pairs))
+    assert FA.restated(table.limit(0)).count() == 0
+
+
+def test_percentiles_of_repeated_null_and_empty(spark):
+    rows = spark.createDataFrame([("g", v) for v in (2, 2, 2, 7, None)] + [(None, 4)], "g string, v int")
+    assert {tuple(r) for r in FA.nearest_rank(rows, "g", "v", (0.0, 0.5, 1.0)).collect()} == {("g", 2, 2, 7), (None, 4, 4, 4)}
+    assert FA.nearest_rank(rows.limit(0), "g", "v", (0.5,)).count() == 0
+
+
 def test_dedup_keeps_the_confident_and_the_first_place(spark):
     rows = [fact("f1", claim="A  b", confidence=0.5), fact("f2", claim="x"), fact("f3", claim="a B", confidence=0.7), fact("f4", claim="a b", confidence=0.7), fact("f5", claim="a b", period=None), fact("f6", claim="a b", period=None)]
     got = sorted((r.position, r.fact_id) for r in FA.dedup_facts(spark.createDataFrame(rows, COLUMNS)).collect())
