@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_bitmap, html_region, lang_cnn, media_chunks, mixing, quality_ftrl, quality_rules, simhash_anchor, toxicity_zdict, url_rules
+from . import bpe_bitmap, fill_middle, html_region, importance, lang_cnn, media_chunks, mixing, packing, quality_ftrl, quality_rules, simhash_anchor, toxicity_zdict, url_rules
 
 
 #: Rank file of the public vocabulary that texts are encoded by.
 RANKS = "byte_bpe_50k.tiktoken"
+#: Tokenizer file that documents are packed by.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,18 @@ def op10_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_anchor": op1_simhash_anchor,
     "op2_quality_ftrl": op2_quality_ftrl,
@@ -70,9 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bpe_bitmap": op9_bpe_bitmap,
     "op10_lang_cnn": op10_lang_cnn,
+    "op11_importance": op11_importance,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_best_fit": op13_best_fit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.oracle_sql(),
     "op7_url_rules": url_rules.oracle_sql(),
     "op8_mixing": mixing.oracle_sql(),
+    "op11_importance": importance.oracle_sql(),
+    "op12_fill_middle": fill_middle.oracle_sql(),
 }
