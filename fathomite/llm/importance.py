@@ -7,12 +7,14 @@ bucket. A document's score is its mean gain plus Gumbel noise of its id, so that
 without replacement, with odds that grow by the gain.
 
 The texts are shuffled once, before they are unrolled, and lie in the order in which the windows want their words; what
-is written are counts by document and bucket. The table of gains has one row for each bucket, so that its size is a
+is written are the buckets of each position. The table of gains has one row for each bucket, so that its size is a
 parameter. The order of the draw is numbered by ranges of scores.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators import ranges
@@ -24,6 +26,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ORDERS, BUCKETS = 2, 10_000
 SHARE, LEAST_WORDS = 25, 20
 SEED = "7"
+#: Bytes of text that a task unrolls and sorts, which takes some twelve times as much; beyond so many tasks they are larger.
+PART_BYTES, MOST_PARTS = 8 << 20, 100_000
 
 
 def _small(word: Column) -> Column:
@@ -32,27 +36,31 @@ def _small(word: Column) -> Column:
 
 
 def position_ngrams(docs: DataFrame, orders: int = ORDERS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, copies, n_words, bucket, n): how often features of a bucket come in the text that id and digest name.
+    """(row, id, b1, ..., bN): for each position of a text the buckets of the runs of 1 to N words that begin there.
 
-    Rows that agree in id and text are one, with their number as ``copies``. Every text has a row: runs that would reach
-    past its end, and a text without words, count under a null bucket. Other columns of ``docs`` are ignored.
+    A bucket is null where the run would reach past the text's end; a text without words has one row, all null. ``row``
+    tells the rows of ``docs`` apart, whose other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    rows = rows.groupBy("id", "digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    rows = rows.select("id", "digest", "copies", F.array_remove(F.split("text", BETWEEN), "").alias("words"))
-    table = rows.select("id", "digest", "copies", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word")).withColumn("word", _small(F.col("word")))
-    at = Window.partitionBy("id", "digest").orderBy("pos")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART_BYTES), MOST_PARTS))
+    rows = rows.repartition(parts, "row").select("row", "id", F.posexplode_outer(F.array_remove(F.split("text", BETWEEN), "")).alias("pos", "word"))
+    table = rows.withColumn("word", _small(F.col("word")))
+    at = Window.partitionBy("row").orderBy("pos")
     table = table.withColumns({f"_{k}": F.lead("word", k).over(at) for k in range(1, orders)})
     runs = [F.col("word")]
     for k in range(1, orders):
         runs.append(F.concat(runs[-1], F.lit(" "), F.col(f"_{k}")))
-    hashed = F.array(*((F.crc32(run) % buckets).cast("int") for run in runs))
-    return table.select("id", "digest", "copies", "n_words", F.explode(hashed).alias("bucket")).groupBy("id", "digest", "copies", "n_words", "bucket").agg(F.count("*").alias("n"))
+    return table.select("row", "id", *((F.crc32(run) % buckets).cast("int").alias(f"b{k}") for k, run in enumerate(runs, 1)))
+
+
+def _buckets(features: DataFrame) -> Column:
+    return F.explode(F.array(*(c for c in features.columns if re.fullmatch(r"b\d+", c)))).alias("bucket")
 
 
 def bucket_counts(features: DataFrame) -> DataFrame:
-    """(bucket, total) over all texts, copies counted."""
-    return features.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum(F.col("n") * F.col("copies")).alias("total"))
+    """(bucket, total) over all texts."""
+    return features.select(_buckets(features)).filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("total"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -77,20 +85,22 @@ def resample(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets:
     """(id, n_features, weight, score, rank) for every row of ``docs``; rank is null for rows that are not drawn.
 
     ``share`` percent, rounded down, of the rows with ``least_words`` words are drawn: the highest scores, of equals the
-    smaller id (null last, then the smaller digest of the text). Null and empty texts have weight 0 and are not drawn.
-    Rows with one id and different texts are different documents; rows that agree in both are returned as often as they
-    come. Other columns are ignored. An empty target gives every bucket the gain that its smoothed share has.
+    smaller id, null last. Rows with an equal id are documents of their own; among equal scores of theirs the one with
+    fewer features comes first. Null and empty texts have weight 0 and are not drawn. Other columns are ignored. An empty
+    target gives every bucket the gain that its smoothed share has; an empty table gives an empty result.
     """
     features = materialize(position_ngrams(docs, orders, buckets, id_col, text_col), "features")
     aims = position_ngrams(target.select(F.lit(0).alias("_i"), F.col(target_text_col).alias("_t")), orders, buckets, "_i", "_t")
     worth = materialize(gains(bucket_counts(features), bucket_counts(aims), buckets), "gains", files=1)
-    counted = F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)
-    found = features.join(F.broadcast(worth), "bucket", "left").groupBy("id", "digest", "copies", "n_words").agg(F.sum(counted).alias("n_features"), F.coalesce(F.sum(F.col("n") * F.col("gain")), F.lit(0)).alias("_gain"))
+    found = features.select("row", "id", _buckets(features)).join(F.broadcast(worth), "bucket", "left")
+    found = found.groupBy("row", "id").agg(F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("_gain"))
     weight = F.when(F.col("n_features") > 0, F.expr("(_gain - pmod(_gain, n_features)) div n_features")).otherwise(0)
-    scored = found.withColumn("weight", weight.cast("bigint")).withColumn("score", F.col("weight") + noise(F.col("id"), seed))
-    scored = materialize(scored.withColumn("able", F.col("n_words") >= least_words).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))), "scored")
+    # Runs of all orders in a text of that many words; more words have more runs.
+    least = sum(max(least_words - k, 0) for k in range(orders))
+    scored = found.withColumn("weight", weight.cast("bigint")).withColumn("score", F.col("weight") + noise(F.col("id"), seed)).withColumn("able", F.col("n_features") >= least)
+    scored = materialize(scored.drop("_gain"), "scored")
     n = scored.filter("able").count()
-    order = [F.desc("able"), F.desc("score"), F.col("id").asc_nulls_last(), "digest", "copy"]
+    order = [F.desc("able"), F.desc("score"), F.col("id").asc_nulls_last(), "n_features", "row"]
     drawn = F.when(F.col("n") <= share * n // 100, F.col("n"))
     return ranges.numbered(scored, order, "n").select(F.col("id").alias(id_col), "n_features", "weight", "score", drawn.alias("rank"))
 

@@ -26,12 +26,10 @@ def brute(rows, target, orders=2, buckets=10_000, share=25, least=20, seed="7"):
         weight = sum(gain[b] for b in found) // len(found) if found else 0
         h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
         score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
-        out.append((i, len(found), weight, score, n, hashlib.md5(text.encode()).digest()))
-    able = sorted((r for r in out if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[5]))
-    rank = Counter()
+        out.append((i, len(found), weight, score, n))
+    able = sorted((r for r in out if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
     made = [(*r[:4], None) for r in out if r[4] < least]
     for k, r in enumerate(able):
-        rank[r] += 1
         made.append((*r[:4], k + 1 if k < share * len(able) // 100 else None))
     return made
 
