@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T, values as V
+from . import ranges
 
 
 # --- The input gate ----------------------------------------------------------------------------------------------------
@@ -97,8 +98,11 @@ def last_of_slot(rows: DataFrame, keys: list[str], value: str, order: str) -> Da
 
 
 def progression(verdicts: DataFrame, run: str, slot: str, order: list[str]) -> DataFrame:
-    """Verdicts with seq, their place in the run, and iteration, their place in the slot."""
-    return verdicts.withColumn("seq", F.row_number().over(Window.partitionBy(run).orderBy(*order))).withColumn("iteration", F.row_number().over(Window.partitionBy(run, slot).orderBy(*order)))
+    """Verdicts with seq, their place in the run, and iteration, their place in the slot, by ranges of ``order``, which
+    should tell the verdicts of a run apart."""
+    placed = ranges.running(verdicts, [run], order, upto="seq")
+    placed = ranges.running(placed, [run, slot], order, upto="iteration")
+    return placed.withColumns({c: F.col(c).cast("int") for c in ("seq", "iteration")})
 
 
 def first_seen(rows: DataFrame, by: str, item: str, order: str) -> DataFrame:

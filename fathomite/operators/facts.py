@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import period as P, text as T, values as V, xbrl as X
+from . import ranges
 
 
 def concepts(spark) -> DataFrame:
@@ -63,26 +64,75 @@ def latest_filing(filings: DataFrame, keys: list[str], amended: str = "is_amendm
 
 
 def mint_ids(facts: DataFrame, by: str, seq: str, pattern: str = "F-PROSE-%s-%04d") -> DataFrame:
-    """Contiguous ids for the kept facts of each document."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(seq))
-    return facts.withColumn("fact_id", F.format_string(pattern, F.col(by), n))
+    """Contiguous ids for the kept facts of each document, numbered by ranges of ``seq``, which should not repeat in one."""
+    return ranges.running(facts, [by], [seq], upto="_n").withColumn("fact_id", F.format_string(pattern, F.col(by), F.col("_n"))).drop("_n")
 
 
-def restatements(facts: DataFrame) -> DataFrame:
+def _asserted(facts: DataFrame) -> DataFrame:
+    """(fact_id, value, assertion_date, _p, _k): facts with a value by period and by what they are compared on, which is
+    the concept, trimmed and in lower case, or without one each metric phrase of the claim."""
+    tag = F.nullif(F.lower(F.trim("concept_tag")), F.lit(""))
+    keys = F.when(tag.isNotNull(), F.array(F.concat(F.lit("c:"), tag))).otherwise(F.transform(T.metric_phrases(F.col("claim"), V.SHARED_PHRASES), lambda p: F.concat(F.lit("p:"), p)))
+    return facts.filter(F.col("value").isNotNull()).select("fact_id", "value", "assertion_date", F.coalesce("period", F.lit("")).alias("_p"), F.explode(keys).alias("_k"))
+
+
+def restatements(facts: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(target_id, evidence_id): a later assertion of another value for the same concept and period.
 
     Concepts are compared trimmed and in lower case; where both are null, a metric phrase must be shared. The join is
-    an equi-join on period and concept (or phrase) with the rest as its residual.
+    an equi-join on period and concept (or phrase) with the rest as its residual. With ``targets`` (fact_id) only these are
+    looked up, so that the pairs are theirs; for all facts, ``first_restatements`` needs no pairs.
     """
-    tag = F.nullif(F.lower(F.trim("concept_tag")), F.lit(""))
-    keys = F.when(tag.isNotNull(), F.array(F.concat(F.lit("c:"), tag))).otherwise(F.transform(T.metric_phrases(F.col("claim"), V.SHARED_PHRASES), lambda p: F.concat(F.lit("p:"), p)))
-    rows = facts.filter(F.col("value").isNotNull()).select("fact_id", "value", "assertion_date", F.coalesce("period", F.lit("")).alias("_p"), F.explode(keys).alias("_k"))
-    t, c = rows.alias("t"), rows.alias("c")
+    rows = _asserted(facts)
+    asked = rows if targets is None else rows.join(targets.select("fact_id").distinct(), "fact_id", "left_semi")
+    t, c = asked.alias("t"), rows.alias("c")
     later = (F.col("c.assertion_date") > F.col("t.assertion_date")) & (F.col("c.value") != F.col("t.value")) & (F.col("c.fact_id") != F.col("t.fact_id"))
     pairs = t.join(c, (F.col("t._p") == F.col("c._p")) & (F.col("t._k") == F.col("c._k")) & later)
     return pairs.select(F.col("t.fact_id").alias("target_id"), F.col("c.fact_id").alias("evidence_id"), F.substring("t._k", 1, 1).alias("_kind")).distinct().drop("_kind")
 
 
+def first_restatements(facts: DataFrame) -> DataFrame:
+    """(target_id, evidence_id, evidence_date): for each fact the first later assertion of another value, of equal dates
+    the one with the least id; facts that are never restated are left out.
+
+    A sweep instead of pairs. For each date of a period and concept two rows are enough: the first of all, and the first whose
+    value is not that one's. Of the later dates, too, two rows are enough: the first, and the first of another value, which
+    is handed down from date to date. Dates lie in ranges of (period, concept, date), latest first; a range hands on what
+    it ends with, one row for each range. So neither a pair nor a whole concept is ever in one task. A fact without value,
+    concept (or phrase) or date neither restates nor is restated; a repeated fact is one.
+    """
+    rows = _asserted(facts).filter("assertion_date IS NOT NULL").withColumn("_d", F.col("assertion_date"))
+    day = ["_p", "_k", "_d"]
+    by_value = rows.groupBy(*day, "value").agg(F.min("fact_id").alias("id"))
+    entry = F.struct("id", "value", "_d")
+    first = by_value.groupBy(*day).agg(F.min(entry).alias("g1"))
+    other = by_value.join(first, day).filter(F.col("value") != F.col("g1.value")).groupBy(*day).agg(F.min(entry).alias("g2"))
+    days = ranges.in_order(first.join(other, day, "left"), ["_p", "_k", F.desc("_d")], tag="days")
+    key = F.struct("_p", "_k")
+    own = Window.partitionBy("_part", "_p", "_k").orderBy("_at")
+    differs = lambda a, b: F.when(a["value"] != b["value"], a)
+    # b: the nearest row of another value than g1's that this date or the next later one has; alt: the nearest of all later.
+    local = days.withColumn("next", F.lag("g1").over(own)).withColumn("b", F.coalesce("g2", differs(F.col("next"), F.col("g1"))))
+    local = local.withColumn("alt", F.last("b", True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy("_part").agg(F.min_by(key, "_at").alias("first_key"), F.min_by("g1", "_at").alias("first_g1"), F.max_by(key, "_at").alias("last_key"), F.max_by("g1", "_at").alias("last_g1"), F.max_by("alt", "_at").alias("last_alt"))
+    in_turn = Window.orderBy("_part")
+    goes_on = F.lag("last_key").over(in_turn) == F.col("first_key")
+    ends = ends.withColumn("before", F.when(goes_on, F.lag("last_g1").over(in_turn)))
+    through = differs(F.col("before"), F.col("first_g1"))
+    ends = ends.withColumn("end_alt", F.coalesce("last_alt", F.when(F.col("first_key") == F.col("last_key"), through)))
+    ends = ends.withColumn("run", F.last("end_alt", True).over(Window.partitionBy("last_key").orderBy("_part")))
+    carried = ends.select("_part", F.col("first_key").alias("_first"), F.col("before"), through.alias("through"), F.when(goes_on, F.lag("run").over(in_turn)).alias("before_alt"))
+    met = local.join(F.broadcast(carried), "_part").withColumn("_edge", key == F.col("_first"))
+    met = met.withColumn("alt", F.coalesce("alt", F.when(F.col("_edge"), F.coalesce("through", "before_alt"))))
+    start = F.lag("g1").over(own).isNull()
+    r1 = F.coalesce(F.lag("g1").over(own), F.when(F.col("_edge") & start, F.col("before")))
+    r2 = F.coalesce(F.lag("alt").over(own), F.when(F.col("_edge") & start, F.col("before_alt")))
+    later = met.select(*day, r1.alias("r1"), r2.alias("r2")).filter("r1 IS NOT NULL")
+    found = rows.join(later, day).withColumn("e", F.when(F.col("r1.value") != F.col("value"), F.col("r1")).otherwise(F.col("r2"))).filter("e IS NOT NULL")
+    best = found.groupBy("fact_id").agg(F.min(F.struct(F.col("e._d").alias("d"), F.col("e.id").alias("id"))).alias("e"))
+    return best.select(F.col("fact_id").alias("target_id"), F.col("e.id").alias("evidence_id"), F.col("e.d").alias("evidence_date"))
+
+
 def restated(facts: DataFrame) -> DataFrame:
     """(fact_id, n_later): the facts that some later assertion of another value refutes, without making the pairs.
 
@@ -151,12 +201,11 @@ def coverage(facts: DataFrame, doc: str = "source_document", concept: str = "con
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
     """Percentiles without interpolation: the value at place round((n - 1) * p), half to even, of each group.
 
-    Equal values are counted before the shuffle; a window then holds distinct values with their running counts, and no
-    group is collected into an array. Null values are left out; a null group is a group.
+    Equal values are counted before the shuffle; distinct values with their counts are then summed up by ranges, so that
+    neither an array nor a window holds a group. Null values are left out; a null group is a group.
     """
-    w = Window.partitionBy(by)
     counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    placed = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    placed = ranges.running(counted, [by], [value], "_c", "_upto", "_n")
     at = lambda p: F.bround((F.col("_n") - 1) * p).cast("bigint")
     pick = lambda p: F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}")
     return placed.groupBy(by).agg(*map(pick, shares))

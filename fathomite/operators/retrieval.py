@@ -4,22 +4,21 @@ Corpora are DataFrames (seq, id, text or vector, period, source_document, layer)
 plan. Scores are rounded to six places before they are ranked, and ties go to the earlier seq, so ranks do not depend on
 the order of additions. Top-k is written as a bounded row number, which Spark prunes before the shuffle.
 
-A corpus is tokenised once, into an index that is written: postings, terms with their weights, and two figures. Queries
-read the postings of their own terms.
+A corpus is tokenised once, into an index that is stored (``text_index``); queries read the blocks of their own terms.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import period as P, text as T, values as V
-from ..storage import materialize, released, shared_dir
+from . import text_index as TI
+from .tags import fits, row_tags, slot_tags
 
 
 def term_counts(corpus: DataFrame, terms: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -36,13 +35,6 @@ def corpus_figures(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return corpus.select(F.size(T.tokenize(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def _weighed(df: DataFrame, n: int, epsilon: float) -> DataFrame:
-    """(term, df, idf) of (term, df) among n texts: Okapi's, with those below zero raised to ``epsilon`` times the mean."""
-    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
 def inverse_frequencies(corpus: DataFrame, epsilon: float = V.BM25_EPSILON, text_col: str = "text") -> DataFrame:
     """(term, df, idf) over a whole corpus.
 
@@ -50,49 +42,16 @@ def inverse_frequencies(corpus: DataFrame, epsilon: float = V.BM25_EPSILON, text
     shuffled for it.
     """
     df = corpus.select(F.explode(F.array_distinct(T.tokenize(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return _weighed(df, corpus.count(), epsilon)
-
-
-@dataclass
-class TextIndex:
-    """postings (id, term, tf, dl), terms (term, df, idf) and figures (n, avgdl: one row), each a written table."""
-
-    postings: DataFrame
-    terms: DataFrame
-    figures: DataFrame
-
-
-def build_text_index(corpus: DataFrame, path: str | None = None, id_col: str = "id", text_col: str = "text", epsilon: float = V.BM25_EPSILON) -> TextIndex:
-    """Tokenise a corpus once and write its index under ``path``, whose former index is replaced; without a path under
-    the shared folder. Texts without a term have no postings and still count among the n."""
-    spark = corpus.sparkSession
-    path = path or f"{shared_dir(spark)}/fathomite_index_{uuid.uuid4().hex}"
-    own = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    with released(spark):
-        term_counts(own).write.mode("overwrite").parquet(f"{path}/postings")
-        postings = spark.read.parquet(f"{path}/postings")
-        n = own.count()
-        _weighed(postings.groupBy("term").agg(F.count("*").alias("df")), n, epsilon).write.mode("overwrite").parquet(f"{path}/terms")
-        postings.agg(F.lit(n).cast("bigint").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / max(n, 1)).alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
-    return open_text_index(spark, path)
-
+    return TI.weighed(df, corpus.count(), epsilon)
 
-def open_text_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "figures")))
 
-
-def bm25_scores(corpus: DataFrame | TextIndex, queries: DataFrame, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
+def bm25_scores(corpus: DataFrame | TI.TextIndex, queries: DataFrame) -> DataFrame:
     """(slot_id, id, score) of every document that shares a term with a query; ``queries`` is (slot_id, query).
 
     A term that a query repeats counts as often. Statistics are of the whole corpus. Queries are a batch of questions
-    against all rows: the equi-join on the term meets only matching postings.
+    against all rows. For the best few rows of a query, ``text_index.search_blocks`` scores less.
     """
-    index = corpus if isinstance(corpus, TextIndex) else build_text_index(corpus)
-    asked = queries.select("slot_id", F.explode(T.tokenize(F.col("query"))).alias("term")).groupBy("slot_id", "term").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(index.terms.select("term", "idf"), "term").join(F.broadcast(index.figures.select(F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"))))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return index.postings.join(weighed, "term").groupBy("slot_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return TI.scores(corpus if isinstance(corpus, TI.TextIndex) else TI.text_index(corpus, None), queries)
 
 
 #: Query vectors at most that are held beside a batch of rows at a time.
@@ -113,14 +72,22 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, most: int | None = Non
 
     The queries are the stated batch of questions: they are sent to all tasks in blocks of QUERY_BLOCK, and each batch of
     rows is scored by one matrix product. With ``most`` a batch passes on only rows that can be among the best ``most``
-    of a query, ties included, so that pairs do not become rows.
+    of a query, ties included, so that pairs do not become rows. Where ``vectors`` and ``queries`` both have tags, only
+    rows with a tag of the query get a score, and are filtered before the best are taken. A null vector, of a row or a
+    query, has no scores; vectors of another length than the queries' end the job.
     """
     spark = vectors.sparkSession
-    asked = queries.select(F.col("slot_id").cast("string").alias("slot_id"), F.col("vector").cast("array<double>").alias("q")).toArrow()
+    tagged = "tags" in vectors.columns and "tags" in queries.columns
+    tags = (F.col("tags") if tagged else F.lit(None)).cast("array<string>").alias("tags")
+    asked = queries.filter(F.col("vector").isNotNull()).select(F.col("slot_id").cast("string").alias("slot_id"), F.col("vector").cast("array<double>").alias("q"), tags).toArrow()
     kind = vectors.select("id").schema[0].dataType.simpleString()
     schema = f"slot_id string, id {kind}, score double"
     if not asked.num_rows:
         return spark.createDataFrame([], schema)
+    dims = {len(q) for q in asked["q"]}
+    if len(dims) > 1:
+        raise ValueError(f"query vectors differ in length: {sorted(dims)[:5]}")
+    dim = dims.pop()
 
     def units(rows: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -129,22 +96,32 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, most: int | None = Non
     def part(lo: int) -> DataFrame:
         block = asked.slice(lo, QUERY_BLOCK)
         names = block["slot_id"].combine_chunks() if block["slot_id"].num_chunks != 1 else block["slot_id"].chunk(0)
-        shared = spark.sparkContext.broadcast((names, units(np.array(block["q"].to_pylist(), np.float64))))
+        allowed = [None if t is None else set(t) for t in block["tags"].to_pylist()]
+        shared = spark.sparkContext.broadcast((names, units(np.array(block["q"].to_pylist(), np.float64)), allowed if tagged else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            slots, q = shared.value
+            slots, q, allowed = shared.value
             for batch in batches:
                 step = max(1, 2_000_000 // len(slots))
                 for at in range(0, batch.num_rows, step):
                     own = batch.slice(at, step)
-                    score = np.round(q @ units(np.array(own.column(1).to_pylist(), np.float64)).T, 6) + 0.0
+                    flat = own.column(1).flatten().to_numpy(zero_copy_only=False)
+                    if len(flat) != own.num_rows * dim or (pc.list_value_length(own.column(1)).to_numpy(zero_copy_only=False) != dim).any():
+                        raise ValueError(f"a vector has another length than the queries' {dim}")
+                    score = np.round(q @ units(flat.reshape(-1, dim)).T, 6) + 0.0
+                    if allowed is not None:
+                        score[~fits(own.column(2), allowed)] = -np.inf
                     if most is not None and score.shape[1] > most:
                         i, j = np.nonzero(score >= np.partition(score, -most, axis=1)[:, -most][:, None])
                     else:
                         i, j = (x.ravel() for x in np.indices(score.shape))
+                    if allowed is not None:
+                        known = np.isfinite(score[i, j])
+                        i, j = i[known], j[known]
                     yield pa.RecordBatch.from_arrays([slots.take(pa.array(i)), own.column(0).take(pa.array(j)), pa.array(score[i, j])], names=["slot_id", "id", "score"])
 
-        rows = vectors.filter(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector"))
+        own = F.coalesce("tags", F.array().cast("array<string>")) if tagged else F.array().cast("array<string>")
+        rows = vectors.filter(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector"), own.alias("tags"))
         return rows.mapInArrow(run, schema)
 
     out = part(0)
@@ -229,27 +206,46 @@ def by_tier(table: dict[str, int], tier: str = "complexity_tier") -> Column:
 LAYERS = ("fact", "chunk")
 
 
-def build_layer_indexes(corpus: DataFrame) -> dict[str, TextIndex]:
-    """A text index for each layer of ``corpus``, to be handed to ``retrieve`` again and again."""
-    return {layer: build_text_index(corpus.filter(F.col("layer") == layer)) for layer in LAYERS}
+def _layer(corpus: DataFrame, layer: str) -> DataFrame:
+    """The rows of a layer with their tags."""
+    return corpus.filter(F.col("layer") == layer).withColumn("tags", row_tags(F.col("period"), F.col("source_document"), layer))
+
 
+def build_layer_indexes(corpus: DataFrame, name: str | None = None) -> dict[str, TI.TextIndex]:
+    """A text index for each layer of ``corpus``, to be handed to ``retrieve`` again and again; with a ``name`` it is built
+    once for the files that ``corpus`` reads."""
+    return {layer: TI.text_index(_layer(corpus, layer).select("id", "seq", "tags", "text"), name and f"{name}_{layer}") for layer in LAYERS}
 
-def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memory: DataFrame | None = None, tier: str = "simple", prefix: str = "nflx", indexes: dict[str, TextIndex] | None = None) -> DataFrame:
+
+def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memory: DataFrame | None = None, tier: str = "simple", prefix: str = "nflx", indexes: dict[str, TI.TextIndex] | None = None) -> DataFrame:
     """One retrieval for every slot: both channels with filter, top-k, second filter and memory, then fusion.
 
     ``corpus`` has (id, seq, layer, text, vector, period, source_document); ``slots`` (slot_id, query, period_filter).
-    Where ``slots`` has a complexity_tier, each slot's own tier decides how many rows it gets, else ``tier`` does.
+    Where ``slots`` has a complexity_tier, each slot's own tier decides how many rows it gets, else ``tier`` does. Both
+    channels filter inside, so that no row that a filter rejects is scored into a table.
     """
     own = slots if "complexity_tier" in slots.columns else slots.withColumn("complexity_tier", F.lit(tier))
     limits = F.broadcast(own.select("slot_id", by_tier(V.CHANNEL_K).alias("_k"), by_tier(V.FUSED_N).alias("_n")))
     within = lambda rows, rank, most: rows.join(limits, "slot_id").filter(F.col(rank) <= F.col(most)).drop("_k", "_n")
     k, n = max(V.CHANNEL_K.values()), max(V.FUSED_N.values())
-    channels = []
     indexes = indexes or build_layer_indexes(corpus)
-    # Without any filter a batch's best rows are enough; with one, rows that the filter keeps may be far down.
-    most = k if slots.filter("period_filter IS NOT NULL").isEmpty() else None
-    for scores in (lambda layer, part: cosine_scores(part, query_vectors, most), lambda layer, part: bm25_scores(indexes[layer], slots).filter("score > 0")):
-        ranked = [within(top_k(eligible(scores(layer, part := corpus.filter(F.col("layer") == layer)), part, slots, layer, prefix), k), "rank", "_k") for layer in LAYERS]
+    filters = slots.select("slot_id", "period_filter")
+    about = corpus.select("id", "seq", "period", "source_document")
+
+    def by_cosine(layer: str, part: DataFrame, wanted: DataFrame) -> DataFrame:
+        asked = query_vectors.select("slot_id", "vector").join(wanted.select("slot_id", "tags"), "slot_id")
+        return top_k(cosine_scores(part, asked, k).join(about.select("id", "seq"), "id"), k).drop("seq")
+
+    def by_words(layer: str, part: DataFrame, wanted: DataFrame) -> DataFrame:
+        return TI.search_blocks(indexes[layer], wanted, k).rows.drop("seq")
+
+    channels = []
+    for channel in (by_cosine, by_words):
+        ranked = []
+        for layer in LAYERS:
+            wanted = slots.select("slot_id", "query", slot_tags(F.col("period_filter"), layer, prefix).alias("tags"))
+            best = channel(layer, _layer(corpus, layer), wanted)
+            ranked.append(within(best.join(about, "id").join(filters, "slot_id"), "rank", "_k"))
         kept = after_filter(concatenate_layers(*ranked), prefix)
         channels.append(exclude(kept, memory) if memory is not None else kept.withColumn("rank", F.row_number().over(Window.partitionBy("slot_id").orderBy("rank"))))
     return within(fuse(channels[0], channels[1], n), "fused_rank", "_n")
