@@ -126,7 +126,10 @@ def tokens(page: str, weights: Weights):
     """
     last_close: dict[str, int] = {}
     links = 0
+    # Open containers: name, score, and the innermost names around, which one without any hands on. Names that are open
+    # are counted, so that an unmatched closing tag need not go through the stack.
     stack: list[tuple[str, float, list[str]]] = []
+    opened: Counter[str] = Counter()
     main, at, end = False, 0, len(page)
 
     def last_of(name: str) -> int:
@@ -151,9 +154,10 @@ def tokens(page: str, weights: Weights):
             if name == "a":
                 links = 0 if slash else 1
             if slash:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+                while opened[name]:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == name:
                         break
             elif name in RAW and not attributes.endswith("/"):
                 if last_of(name) >= at:
@@ -166,13 +170,14 @@ def tokens(page: str, weights: Weights):
                     hints = _hints(name, attributes, above is not None and above > 0)
                     told = _told(hints, weights.names)
                     score = above if above is not None and (above < 0 or abs(told) < 1) else max(-4.0, min(4.0, told)) if abs(told) >= 1 else None
-                    stack.append((name, score, [h for own in hints for h in own]))
+                    stack.append((name, score, [h for own in hints for h in own] or (stack[-1][2] if stack else [])))
+                    opened[name] += 1
             yield "tag", name, weights.tag, main, ()
         elif text is not None:
             score = stack[-1][1] if stack else None
             score = weights.word if score is None else max(score, weights.boilerplate)
             score = min(score, weights.link) if links else score
-            yield "text", html.unescape(text), score, main, next((hints for *_, hints in reversed(stack) if hints), [])
+            yield "text", html.unescape(text), score, main, stack[-1][2] if stack else []
 
 
 def region(items: list[tuple[float, int]]) -> tuple[int, int]:
