@@ -89,7 +89,8 @@ def frequency_sketch(docs: DataFrame, text_col: str, shingle: int = SHINGLE, bit
 
 
 def signatures(docs: DataFrame, row_col: str, text_col: str, sketch: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """(row, key, fp, n, bits, prefix) for each row: key names the shingle set, fp is its text's SimHash, n the set's size.
+    """(row, key, check, fp, n, bits, prefix) for each row: key and check, two hashes, name the shingle set, fp is its text's
+    SimHash, n the set's size.
 
     The common order of shingles is by their count in ``sketch``, then by hash. ``bits`` has the parity of the number of
     shingles whose hash ends in each of ``64 * WORDS`` values: two sets differ in at least as many shingles as their
@@ -98,23 +99,37 @@ def signatures(docs: DataFrame, row_col: str, text_col: str, sketch: np.ndarray,
     shift = np.uint64(64 - (len(sketch).bit_length() - 1))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def one(text: str | None) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    def one(text: str | None) -> tuple[int, int, int, np.ndarray, np.ndarray, int]:
         every = shingle_hashes(text, shingle)
         own = np.unique(every)
         first = own[np.argsort(shared.value[(own >> shift).astype(np.int64)], kind="stable")][: prefix_length(len(own))]
         odd = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-        return xxhash.xxh64_intdigest(own.tobytes(), 1), fingerprint_of(every), len(own), first, np.packbits(odd.astype(np.uint8)).view(np.int64)
+        named = xxhash.xxh3_128_intdigest(own.tobytes())
+        return named >> 64, fingerprint_of(every), len(own), first, np.packbits(odd.astype(np.uint8)).view(np.int64), named & (2**64 - 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [one(t.as_py()) for t in batch.column(1)]
-        key, fp = (pa.array(np.array([m[i] for m in made], np.uint64).view(np.int64)) for i in (0, 1))
+        key, fp, check = (pa.array(np.array([m[i] for m in made], np.uint64).view(np.int64)) for i in (0, 1, 5))
         starts = np.cumsum([0, *(len(m[3]) for m in made)]).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([m[3] for m in made]).view(np.int64)))
         bits = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([m[4] for m in made])))
-        return pa.RecordBatch.from_arrays([batch.column(0), key, fp, pa.array([m[2] for m in made], pa.int32()), bits, prefix], names=[row_col, "key", "fp", "n", "bits", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), key, check, fp, pa.array([m[2] for m in made], pa.int32()), bits, prefix], names=[row_col, "key", "check", "fp", "n", "bits", "prefix"])
 
     kind = docs.select(row_col).schema[0].dataType.simpleString()
-    return map_rows(docs, [row_col, text_col], f"`{row_col}` {kind}, key bigint, fp bigint, n int, bits array<bigint>, prefix array<bigint>", run)
+    return map_rows(docs, [row_col, text_col], f"`{row_col}` {kind}, key bigint, check bigint, fp bigint, n int, bits array<bigint>, prefix array<bigint>", run)
+
+
+def named_apart(own: DataFrame) -> DataFrame:
+    """``own`` without check, and with a key of its own for each shingle set: sets are told apart by 128 bits.
+
+    Two sets with one 64-bit key (about three among ten thousand million) would be one class, and a document would be lost. Where
+    checks differ under a key, all but the least get a new key, of both hashes; there are next to none of these rows.
+    """
+    shared = own.groupBy("key").agg(F.min("check").alias("_least"), F.max("check").alias("_most")).filter("_least < _most").select("key", "_least")
+    shared = materialize(shared, "collisions", files=1)
+    if shared.isEmpty():
+        return own.drop("check")
+    return own.join(shared, "key", "left").withColumn("key", F.when(F.col("check") > F.col("_least"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("check", "_least")
 
 
 def _may_match(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
@@ -194,7 +209,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names; an empty table gives none.
     """
     rows, key = with_row_key(docs, id_col, text_col)
-    own = materialize(signatures(rows, key, text_col, frequency_sketch(rows, text_col, shingle), shingle), "signatures")
+    own = named_apart(materialize(signatures(rows, key, text_col, frequency_sketch(rows, text_col, shingle), shingle), "signatures"))
     roots = similar_links(rows, own, key, text_col, shingle)
     least = own.filter(F.col(key)["id"].isNotNull()).groupBy("key").agg(F.min(key).alias(key))
     grouped = least.join(roots, "key", "left").select(key, F.coalesce("root", "key").alias("group"))

@@ -100,3 +100,10 @@ def test_names_may_clash_and_ids_repeat(spark):
         assert made.columns == docs.columns
         assert sorted((r.doc_id or 0, r.text or "") for r in made.collect()) == sorted([(1, text), (1, "other words here"), (0, text), (0, "")])
         assert keep(docs.limit(0)).count() == 0
+
+
+def test_sets_with_one_key_are_told_apart(spark):
+    own = spark.createDataFrame([(1, 7, -5, "a"), (2, 7, -5, "a"), (3, 7, 9, "b"), (4, 8, 9, "c")], "row int, key long, check long, text string")
+    got = {r.row: r.key for r in op.named_apart(own).collect()}
+    assert got[1] == got[2] == 7 and got[4] == 8 and got[3] not in (7, 8)
+    assert op.named_apart(own.filter("row <> 3")).columns == ["row", "key", "text"]
