@@ -66,12 +66,11 @@ def bucket_counts(features: DataFrame) -> DataFrame:
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, gain) for every bucket: a thousand times the log of its smoothed share of the target over that of the
     corpus, rounded down. ``corpus`` and ``target`` are (bucket, total), of ``buckets`` rows at most."""
-    spark = corpus.sparkSession
-    rows = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    all_s, all_t = (counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] for counts in (corpus, target))
+    rows = corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     rows = rows.join(corpus.withColumnRenamed("total", "s"), "bucket", "left").join(target.withColumnRenamed("total", "t"), "bucket", "left").fillna(0, ["s", "t"])
-    rows = rows.coalesce(1).withColumns({"all_s": F.sum("s").over(Window.partitionBy()), "all_t": F.sum("t").over(Window.partitionBy())})
     d = lambda c, plus: F.col(c).cast("double") + float(plus)
-    ratio = d("t", 1) * d("all_s", buckets) / (d("s", 1) * d("all_t", buckets))
+    ratio = d("t", 1) * (float(all_s) + float(buckets)) / (d("s", 1) * (float(all_t) + float(buckets)))
     return rows.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
@@ -91,7 +90,8 @@ def resample(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets:
     """
     features = materialize(position_ngrams(docs, orders, buckets, id_col, text_col), "features")
     aims = position_ngrams(target.select(F.lit(0).alias("_i"), F.col(target_text_col).alias("_t")), orders, buckets, "_i", "_t")
-    worth = materialize(gains(bucket_counts(features), bucket_counts(aims), buckets), "gains", files=1)
+    counts = [materialize(bucket_counts(f), "counts") for f in (features, aims)]
+    worth = materialize(gains(*counts, buckets), "gains")
     found = features.select("row", "id", _buckets(features)).join(F.broadcast(worth), "bucket", "left")
     found = found.groupBy("row", "id").agg(F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("_gain"))
     weight = F.when(F.col("n_features") > 0, F.expr("(_gain - pmod(_gain, n_features)) div n_features")).otherwise(0)
