@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import period as P, text as T, values as V, xbrl as X
+from ..storage import materialize
 from . import ranges
 
 
@@ -101,7 +102,7 @@ def first_restatements(facts: DataFrame) -> DataFrame:
     it ends with, one row for each range. So neither a pair nor a whole concept is ever in one task. A fact without value,
     concept (or phrase) or date neither restates nor is restated; a repeated fact is one.
     """
-    rows = _asserted(facts).filter("assertion_date IS NOT NULL").withColumn("_d", F.col("assertion_date"))
+    rows = materialize(_asserted(facts).filter("assertion_date IS NOT NULL").withColumn("_d", F.col("assertion_date")), "asserted")
     day = ["_p", "_k", "_d"]
     by_value = rows.groupBy(*day, "value").agg(F.min("fact_id").alias("id"))
     entry = F.struct("id", "value", "_d")

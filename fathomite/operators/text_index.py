@@ -128,9 +128,9 @@ def _asked(index: TextIndex, queries: DataFrame) -> DataFrame:
 
 def _own_blocks(index: TextIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks in the partitions of the asked terms, and the asked terms as the side of a join by term."""
-    parts = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")).distinct().collect()]
-    small = asked.count() <= MOST_SENT
-    return index.blocks.filter(F.col("part").isin(parts)), F.broadcast(asked) if small else asked.hint("merge")
+    part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
+    parts, n = asked.agg(F.collect_set(part), F.count("*")).first()
+    return index.blocks.filter(F.col("part").isin(sorted(parts))), F.broadcast(asked) if n <= MOST_SENT else asked.hint("merge")
 
 
 def _scored(blocks: DataFrame, asked: DataFrame, ranges: DataFrame, figures: DataFrame) -> DataFrame:
@@ -155,11 +155,20 @@ def scores(index: TextIndex, queries: DataFrame) -> DataFrame:
 
 @dataclass
 class Found:
-    """rows (slot_id, id, seq, score, rank), and how many blocks of the queries' terms there are and were scored."""
+    """rows (slot_id, id, seq, score, rank); n_blocks and n_scored count the blocks of the queries' terms, and those of
+    them that were scored."""
 
     rows: DataFrame
-    n_blocks: int
-    n_scored: int
+    bounds: DataFrame
+    chosen: DataFrame
+
+    @property
+    def n_blocks(self) -> int:
+        return self.bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    @property
+    def n_scored(self) -> int:
+        return self.chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def search_blocks(index: TextIndex, queries: DataFrame, k: int, first: int = FIRST) -> Found:
@@ -190,5 +199,4 @@ def search_blocks(index: TextIndex, queries: DataFrame, k: int, first: int = FIR
     found = begun.unionByName(_scored(blocks, side, needed.drop("n"), index.figures).filter("score > 0")).join(index.documents.select("pos", "id", "seq"), "pos").drop("pos")
     best = Window.partitionBy("slot_id").orderBy(F.desc("score"), "seq")
     rows = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("slot_id", "id", "seq", "score", "rank")
-    count = lambda d: d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Found(rows, count(bounds), count(early) + count(needed))
+    return Found(rows, bounds, early.select("n").unionByName(needed.select("n")))

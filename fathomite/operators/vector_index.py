@@ -94,9 +94,9 @@ class Quantiser:
 
 
 def fit(sample: np.ndarray, rows: int, seed: int = 1) -> Quantiser:
-    """A quantiser for ``rows`` rows, of which ``sample`` are unit vectors; about four times their root in cells."""
+    """A quantiser for ``rows`` rows, of which ``sample`` are unit vectors; about twice their root in cells."""
     n, dim = sample.shape
-    cells = int(min(MOST_CELLS, max(1, n // 8), max(1, round(4 * rows**0.5))))
+    cells = int(min(MOST_CELLS, max(1, n // 8), max(1, round(2 * rows**0.5))))
     centres = fit_centres(sample, cells, 10, seed, unit=True)
     own = _nearest(sample, centres)
     parts = -(-dim // DIMS_A_BYTE)

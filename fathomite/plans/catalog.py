@@ -468,7 +468,8 @@ def q_top10(spark, sf_dir):
 @query(f"WITH {FACTS_SQL} SELECT fact_id AS source_id, 'F-PROSE-' || source_document || '-' || lpad(CAST(row_number() OVER (PARTITION BY source_document ORDER BY fact_id) AS VARCHAR), 4, '0') AS fact_id FROM facts WHERE confidence >= CAST(0.95 AS DOUBLE)")
 def q_fact_ids(spark, sf_dir):
     kept = views.facts(spark, sf_dir).filter("confidence >= 0.95D").withColumnRenamed("fact_id", "source_id")
-    return FA.mint_ids(kept, "source_document", "source_id").select("source_id", "fact_id")
+    # Bounds of ranges are sampled, which would run the joins of the view once more.
+    return FA.mint_ids(materialize(kept.select("source_document", "source_id"), "kept"), "source_document", "source_id").select("source_id", "fact_id")
 
 
 @query(f"""WITH {FACTS_SQL}, a AS (SELECT DISTINCT concept_tag FROM facts WHERE fact_type = 'financial_metric'), b AS (SELECT DISTINCT concept_tag FROM facts WHERE confidence < CAST(0.91 AS DOUBLE) AND fact_type = 'accounting_policy')
