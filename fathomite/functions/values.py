@@ -198,8 +198,5 @@ CLARIFICATION_TEXT = (
     "Narrow the question to a specific metric, period, or filing so I can ground the answer in primary sources."
 )
 HARD_HALT_TEXT = "The run halted before an answer could be generated. The cause is recorded on the trace's degradation_cause field."
-RETRY_HEAD = "The Governance gate flagged the following issues:"
-RETRY_TAIL = (
-    "Revise the answer_text to surface every flagged refutation per the system prompt's refutation handling rules. "
-    "Do NOT alter any numerical claim — those passed."
-)
+RETRY_HEAD = "These points of the answer were not accepted:"
+RETRY_TAIL = "Answer again: name each refutation listed above, and give no number that a cited record does not have."
