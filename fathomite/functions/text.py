@@ -37,7 +37,7 @@ def collapse(text: Column) -> Column:
 
 
 def normalize_claim(text: Column) -> Column:
-    """Composed, in lower case, white space runs to one space. Only texts beyond ASCII are sent to be composed."""
+    """Composed, in lower case, white space runs to one space. Every text passes through ``nfc``, so through Python."""
     return collapse(F.lower(nfc(text)))
 
 
