@@ -22,6 +22,8 @@ from ..storage import current, materialize, once, publish, released
 
 #: Documents of a block (the bits of a BIGINT), partitions of the blocks, and ranges of a term that one file holds.
 RANGE, PARTS, FILE_RANGES = 64, 32, 1 << 16
+#: To be raised whenever what is written changes, so that no index of former code is opened.
+LAYOUT = 1
 #: Ranges that are scored for a query before it has a threshold, for each row asked for.
 FIRST = 2
 #: Rows of query terms up to which they are sent to all tasks; beyond, blocks are joined by term.
@@ -116,7 +118,7 @@ def text_index(corpus: DataFrame, name: str | None, epsilon: float = V.BM25_EPSI
     """The index of ``corpus`` in the shared folder: built by the first call for the files that it reads, then opened.
 
     ``name`` tells apart corpora that are made of the same files; without a name it is built for this call only."""
-    place = once(corpus, name and f"text_{name}_{epsilon}_{k1}_{b}", lambda place: _write(corpus, place, epsilon, k1, b))
+    place = once(corpus, name and f"text{LAYOUT}_{name}_{epsilon}_{k1}_{b}", lambda place: _write(corpus, place, epsilon, k1, b))
     return _open(corpus.sparkSession, place)
 
 

@@ -30,6 +30,8 @@ SAMPLE, MOST_CELLS, RECALL = 20_000, 4096, 0.96
 DIMS_A_BYTE, CANDIDATES = 4, 20
 #: Rows of a cell that one task writes, and queries scored side by side.
 CELL_ROWS, SIDE_BY_SIDE = 500_000, 256
+#: To be raised whenever what is written changes, so that no index of former code is opened.
+LAYOUT = 2
 #: Query vectors that are held beside the codes at a time.
 QUERY_BLOCK = 4096
 
@@ -203,7 +205,7 @@ def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
 
 def vector_index(vectors: DataFrame, name: str | None, sample: int = SAMPLE) -> VectorIndex:
     """The index of ``vectors`` in the shared folder: built by the first call for the files that it reads, then opened."""
-    return _open(vectors.sparkSession, once(vectors, name and f"vector_{name}_{sample}", lambda place: _write(vectors, place, sample)))
+    return _open(vectors.sparkSession, once(vectors, name and f"vector{LAYOUT}_{name}_{sample}", lambda place: _write(vectors, place, sample)))
 
 
 def _open(spark: SparkSession, place: str) -> VectorIndex:

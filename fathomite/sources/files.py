@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import time
+import uuid
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,6 +32,43 @@ def write_facts(facts: DataFrame, path: str) -> None:
     facts.withColumn("document", F.col("source_document")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document").json(path)
 
 
+def publish_facts(facts: DataFrame, path: str) -> str:
+    """Write whole documents' facts under ``path`` so that readers see a document in its former or in its new form.
+
+    Files are staged in a folder of their own; when all are there, one file is added to the manifest, which names the
+    documents, their numbers of rows and the folder. A writer that dies before has published nothing. A document that
+    comes again is replaced; a null source_document is a document. Returns the folder's name.
+    """
+    spark, version = facts.sparkSession, uuid.uuid4().hex
+    staged = f"{path}/data/version={version}"
+    facts.withColumn("document", F.col("source_document")).write.partitionBy("document").json(staged)
+    whole = spark.read.schema(f"{FACT_SCHEMA}, document string").json(staged).groupBy("document").agg(F.count("*").alias("n"))
+    entry = whole.select("document", "n", F.lit(version).alias("version"), F.lit(time.time_ns()).alias("at"))
+    entry.coalesce(1).write.mode("append").option("ignoreNullFields", "false").json(f"{path}/manifest")
+    return version
+
+
+def published_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document, version, n) of each published document, in its last form: what a resumed run need not do again."""
+    entries = spark.read.schema("document string, n bigint, version string, at bigint").json(f"{path}/manifest")
+    return entries.groupBy("document").agg(F.max_by(F.struct("version", "n"), F.struct("at", "version")).alias("_e")).select("document", "_e.*")
+
+
+def published_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The facts of all published documents. Staged files that no manifest names are not read."""
+    rows = spark.read.schema(f"{FACT_SCHEMA}, version string, document string").json(f"{path}/data")
+    last = published_documents(spark, path).select(F.col("document").alias("_d"), F.col("version").alias("_v"))
+    return rows.join(last, (F.col("version") == F.col("_v")) & F.col("document").eqNullSafe(F.col("_d")), "left_semi").drop("version", "document")
+
+
+def incomplete_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document, n, n_found): published documents that have lost rows since, to be published again."""
+    rows = spark.read.schema("version string, document string").json(f"{path}/data").groupBy("version", "document").agg(F.count("*").alias("n_found"))
+    last = published_documents(spark, path)
+    found = last.join(rows.withColumnRenamed("document", "_d").withColumnRenamed("version", "_v"), (F.col("version") == F.col("_v")) & F.col("document").eqNullSafe(F.col("_d")), "left")
+    return found.select("document", "n", F.coalesce("n_found", F.lit(0)).alias("n_found")).filter("n <> n_found")
+
+
 def pending(documents: DataFrame, done: DataFrame, key: str = "document_id") -> DataFrame:
     """Documents whose output is not there yet."""
     return documents.join(done.select(key).distinct(), key, "left_anti")
