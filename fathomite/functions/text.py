@@ -167,11 +167,14 @@ def lenient_json(text: Column) -> Column:
     return F.try_parse_json(F.regexp_substr(text, F.lit(r"(?s)\{.*\}")))
 
 
-def paragraphs_html(text: Column) -> Column:
-    s = text
+def escape_html(text: Column) -> Column:
     for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
-        s = F.replace(s, F.lit(old), F.lit(new))
-    parts = F.filter(F.transform(F.split(s, "\n\n"), lambda p: strip(p)), lambda p: p != "")
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def paragraphs_html(text: Column) -> Column:
+    parts = F.filter(F.transform(F.split(escape_html(text), "\n\n"), lambda p: strip(p)), lambda p: p != "")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")
 
 
