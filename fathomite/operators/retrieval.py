@@ -141,9 +141,17 @@ def hashed_embedder(dim: int = 384, id_col: str = "id") -> Embedder:
 
     def embed(rows: DataFrame, text_col: str) -> DataFrame:
         terms = T.tokenize(F.coalesce(F.col(text_col), F.lit("")))
-        at = F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("i"), F.when(F.pmod(F.crc32(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-        own = rows.select(F.col(id_col).alias("id"), at.alias("_at"))
-        sums = own.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter("_at", lambda x: x["i"] == d), F.lit(0.0), lambda s, x: s + x["s"])).alias("vector"))
+        at = F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+        sign = F.transform(terms, lambda t: F.when(F.pmod(F.crc32(t), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                # A row at a time, one pass over its terms.
+                made = [np.bincount(i.values.to_numpy(), s.values.to_numpy(zero_copy_only=False), dim) for i, s in zip(batch.column(1), batch.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["id", "vector"])
+
+        kind = rows.schema[id_col].dataType.simpleString()
+        sums = rows.select(F.col(id_col).alias("id"), at.alias("at"), sign.alias("sign")).mapInArrow(run, f"id {kind}, vector array<double>")
         return unit_vectors(sums).select("id", "vector")
 
     return embed
