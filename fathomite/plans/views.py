@@ -58,7 +58,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as verdicts of slots: run and slot by user, coverage by value, iteration by time."""
-    e = table(spark, sf_dir, "events")
+    return as_verdicts(table(spark, sf_dir, "events"))
+
+
+def as_verdicts(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     verdict = F.when(kind.isin("click", "view"), "covered").when(kind == "signup", "gap").when(kind == "purchase", "contradiction").otherwise("exhausted")
     return e.select((F.col("user_id") % 50).alias("run_id"), F.col("user_id").alias("slot_id"), "event_id", "ts", verdict.alias("verdict"), F.col("value").alias("coverage"), (F.col("event_id") % 3).alias("n_supported"))

@@ -1,7 +1,8 @@
 import glob
+from collections import Counter
 from html.parser import HTMLParser
 
-from fathomite.plans import engine, pages
+from fathomite.plans import catalog_records, engine, pages, views
 from pyspark.sql import functions as F
 
 
@@ -62,3 +63,16 @@ def test_ten_thousand_runs_one_file_each_and_reruns_are_equal(spark, tmp_path):
     assert len(files) == 50 and all(read(v).bars == 2 for v in files.values())
     pages.write_pages(some.filter("run_id = 7"), str(tmp_path))
     assert sorted(open(f).read() for f in glob.glob(f"{tmp_path}/run=*/*.txt")) == sorted(files.values())
+
+
+def test_pages_of_all_events_hold_every_pass(spark):
+    sf = "/root/testdata/sf0.001"
+    events = views.verdicts(spark, sf).select("run_id", "event_id", "verdict").collect()
+    n, told = Counter(r.run_id for r in events), Counter((r.run_id, r.verdict) for r in events)
+    rows = pages.pages(catalog_records.event_traces(spark, sf)).collect()
+    assert {r.run_id for r in rows} == set(n)
+    for r in rows:
+        got = read(r.html)
+        in_passes = got.texts[got.texts.index("Passes") : got.texts.index("Retrieved")]
+        assert got.bars == n[r.run_id] and Counter(in_passes)["exhausted"] == told[r.run_id, "exhausted"]
+        assert all(any(f"e{e.event_id}" in t.replace(":", ",").replace(" ", "").split(",") for t in got.texts) for e in events if e.run_id == r.run_id)
