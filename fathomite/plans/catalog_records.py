@@ -220,7 +220,8 @@ SELECT slot_id, count(*) AS n, coalesce(count(*) >= 3 AND arg_max(coalesce(d1, 9
 def q_stream_ledger(spark, sf_dir):
     """Events read as a stream through the slots' state; the last state of each slot."""
     place = f"{shared_dir(spark)}/fathomite_ledger_{uuid.uuid4().hex}"
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A stream reads no path of a single file; as a pattern it may be a file or a folder.
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     rows = views.as_verdicts(events).select("slot_id", F.col("event_id").alias("iteration"), (F.col("coverage") / 500).alias("coverage"), "verdict", "n_supported")
     slots.write_states(slots.slot_states(rows), f"{place}/states", f"{place}/checkpoint").awaitTermination()
     return slots.last_states(spark, f"{place}/states").drop("closed")
