@@ -58,11 +58,11 @@ def q_overall_verdict(spark, sf_dir):
     return D.overall_verdict(h, "run_id", 1).withColumn("iteration", F.lit(1)).unionByName(D.overall_verdict(h, "run_id", 2).withColumn("iteration", F.lit(2)))
 
 
-@query(f"""WITH {HYPOTHESES_SQL}, known AS (SELECT DISTINCT run_id, left(hypothesis_text, 25) AS t FROM h WHERE fact_type = 'accounting_policy'), p AS (SELECT run_id, hypothesis_id, left(hypothesis_text, 25) AS hypothesis_text FROM h WHERE fact_type <> 'accounting_policy')
+@query(f"""WITH {HYPOTHESES_SQL}, known AS (SELECT DISTINCT run_id, left(hypothesis_text, 31) AS t FROM h WHERE fact_type = 'accounting_policy'), p AS (SELECT run_id, hypothesis_id, left(hypothesis_text, 31) AS hypothesis_text FROM h WHERE fact_type <> 'accounting_policy')
 SELECT run_id, hypothesis_text, min(hypothesis_id) AS hypothesis_id FROM p ANTI JOIN known k ON k.run_id = p.run_id AND k.t = p.hypothesis_text GROUP BY 1, 2""")
 def q_new_hypotheses(spark, sf_dir):
-    """Hypotheses by the first 25 characters of their text, so that texts come again."""
-    h = _hypotheses(spark, sf_dir).withColumn("hypothesis_text", F.left("hypothesis_text", F.lit(25)))
+    """Hypotheses by the first 31 characters of their text, so that texts come again."""
+    h = _hypotheses(spark, sf_dir).withColumn("hypothesis_text", F.left("hypothesis_text", F.lit(31)))
     proposed = h.filter("fact_type <> 'accounting_policy'").select("run_id", "hypothesis_id", "hypothesis_text")
     return D.new_hypotheses(proposed, h.filter("fact_type = 'accounting_policy'")).select("run_id", "hypothesis_text", "hypothesis_id")
 
