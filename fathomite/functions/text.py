@@ -178,6 +178,15 @@ def paragraphs_html(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded half away from zero as it is stored: 0.285 is a little less, so 0.28. (``F.round`` goes by the
+    shortest decimal form, which gives 0.29.)"""
+    scaled = x * F.lit(10.0**places)
+    near = F.rint(F.abs(scaled))
+    up = F.when(F.abs(scaled) - near == 0.5, near + 1).otherwise(near)
+    return F.signum(scaled) * up / F.lit(10.0**places)
+
+
 def coverage_bar(score: Column) -> Column:
     """STRUCT<height, colour> of a bar for a score between 0 and 1."""
     colour = F.when(score >= 0.8, "green").when(score >= 0.5, "amber").otherwise("red")

@@ -77,3 +77,24 @@ def test_numbers_terms_and_anchors(spark):
     assert one(spark, T.coverage_bar(F.lit(0.5))["height"], "x") == 13
     assert one(spark, T.paragraphs_html(F.col("c0")), "a<b\nc\n\nd") == "<p>a&lt;b<br>c</p><p>d</p>"
     assert one(spark, T.lenient_json(F.col("c0")).cast("string"), 'x ```{"a": 1}``` y') == '{"a":1}'
+
+
+def test_rounding_goes_by_the_stored_double(spark):
+    import duckdb
+
+    halves = [n / 1000 for n in range(-2000, 2001)] + [0.0, 1e300, 0.004999999999999999]
+    rows = spark.createDataFrame([(x,) for x in halves], "x double")
+    got = {r.x: r.y for r in rows.select("x", T.rounded(F.col("x"), 2).alias("y")).collect()}
+    want = dict(duckdb.sql(f"SELECT x, round(x, 2) FROM (SELECT unnest({halves}::DOUBLE[]) AS x)").fetchall())
+    assert got == want and got[0.285] == 0.28 and got[0.125] == 0.13
+
+
+def test_bars_of_values_that_lie_between_two_steps(spark, tmp_path):
+    import __spark_entry__ as entry
+    import duckdb
+
+    rows = [(i, None, i % 7, "click", i / 2) for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in entry.queries()["q_coverage_bars"](spark, f"file://{tmp_path}").collect()}
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(duckdb.sql(entry.oracle_sql()["q_coverage_bars"]).fetchall())
