@@ -114,3 +114,17 @@ def test_empty_corpus_and_documents_are_numbered_without_gaps(spark, indexed, tm
     none = TI.build_text_index(spark.createDataFrame([], "id long, text string"), f"file://{tmp_path}/none")
     q = spark.createDataFrame([("q", "a")], "slot_id string, query string")
     assert TI.search_blocks(none, q, 3).rows.count() == 0 and TI.scores(none, q).count() == 0
+
+
+def test_one_pass_for_many_queries_gives_what_joins_give(spark, indexed, monkeypatch):
+    """Postings are dealt out once for all queries: tasks pass on their best rows, not a row for each query and document."""
+    index = indexed[3]
+    rng = random.Random(4)
+    asked = [(f"s{i:03}", " ".join(f"w{rng.randint(1, 40)}" for _ in range(6)), [None, [], ["all"], ["d:1", "d:3"]][i % 4]) for i in range(300)]
+    queries = spark.createDataFrame(asked, "slot_id string, query string, tags array<string>")
+    sent = TI._searched(index, TI._asked(index, queries), queries, 3).filter("pos IS NOT NULL")
+    every = TI.scores(index, queries).count()
+    assert sent.count() < every / 5
+    once = sorted(map(tuple, TI.search_blocks(index, queries, 3).rows.collect()))
+    monkeypatch.setattr(TI, "MOST_AT_ONCE", 0)
+    assert once == sorted(map(tuple, TI.search_blocks(index, queries, 3).rows.collect())) and len({r[0] for r in once}) == 225
