@@ -156,12 +156,16 @@ def numeric_violations(claims: DataFrame, facts: DataFrame) -> DataFrame:
     ``claims`` has (claim_id, claim_text, claim_type, source_ids).
     """
     grounded = claims.filter("claim_type = 'grounded'")
-    own = grounded.select("claim_id", F.explode(T.significant_numbers(F.col("claim_text"))).alias("token"))
-    cited = grounded.select("claim_id", F.explode("source_ids").alias("fact_id")).join(facts, "fact_id")
-    allowed = cited.select("claim_id", F.explode(numeric_corpus(F.col("value"), F.col("claim"), F.col("period"), F.col("assertion_date"))).alias("token"))
-    # A token's thousands commas are dropped after it has failed as it is; both are equi-joins on claim and token.
-    left = own.join(allowed, ["claim_id", "token"], "left_anti").withColumn("_bare", F.replace("token", F.lit(","), F.lit("")))
-    return left.join(allowed.withColumnRenamed("token", "_bare"), ["claim_id", "_bare"], "left_anti").select("claim_id", "token").distinct()
+    own = grounded.select("claim_id", T.significant_numbers(F.col("claim_text")).alias("_own"), F.explode_outer(F.array_distinct("source_ids")).alias("fact_id"))
+    # The numbers of a fact are made beside the claim that cites it and leave the task only where the claim has them too: what is
+    # shuffled is a fact's own columns, not a row for each of its numbers.
+    cited = own.join(facts.select("fact_id", "value", "claim", "period", "assertion_date"), "fact_id", "left")
+    corpus = F.coalesce(numeric_corpus(F.col("value"), F.col("claim"), F.col("period"), F.col("assertion_date")), F.array().cast("array<string>"))
+    cited = cited.select("claim_id", "_own", F.when(F.col("fact_id").isNotNull(), corpus).alias("_has"))
+    # A token passes as it is, or without its thousands commas.
+    held = F.filter("_own", lambda t: F.array_contains("_has", t) | F.array_contains("_has", F.replace(t, F.lit(","), F.lit(""))))
+    per = cited.select("claim_id", "_own", F.coalesce(held, F.array().cast("array<string>")).alias("_held")).groupBy("claim_id").agg(F.collect_list("_own").alias("_own"), F.collect_list("_held").alias("_held"))
+    return per.select("claim_id", F.explode(F.array_except(F.flatten("_own"), F.flatten("_held"))).alias("token"))
 
 
 def undisclosed(hypotheses: DataFrame, disclosed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import values as V
+from ..storage import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """These columns of ``facts`` as a table, for plans that read them more than once: the view's joins then run once."""
+    return materialize(facts(spark, sf_dir).select(*columns), "facts")
+
+
 FACTS_SQL = """facts AS (
   SELECT concat_ws('-', 'F', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS fact_id,
     'The ' || lower(p_brand) || ' figure of order ' || l_orderkey || ' was ' || CAST(floor(l_extendedprice) AS BIGINT) || '.' AS claim,

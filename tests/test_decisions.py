@@ -86,3 +86,13 @@ def test_claims_hypotheses_ledger_and_disclosures(spark):
     refuted = spark.createDataFrame([("r", "f1", "restated_value", "weakly_refuted"), ("r", "f2", "x", "unrefuted")], "run_id string, targets_claim_id string, strategy string, refutation_verdict string")
     assert sorted((r.kind, r.subject) for r in D.disclosures(verdicts, refuted).collect()) == [("contradiction", "s2"), ("contradiction", "s2"), ("gap", "s1"), ("refutation", "f1")]
     assert [r.fact_id for r in D.additional_facts(facts.union(facts), facts.filter("fact_id = 'f1'")).collect()] == ["f2"]
+
+
+def test_numbers_of_facts_are_not_shuffled_as_rows(spark):
+    """One join, by cited fact, and one row a claim: a claim with several sources and a repeated fact keep their results."""
+    facts = spark.createDataFrame([("f1", 1200.0, "a 77", "2024Q3", dt.date(2018, 1, 22)), ("f1", 3400.0, "b", "2024Q3", dt.date(2018, 1, 22)), ("f2", 5600.5, "c", None, None)], "fact_id string, value double, claim string, period string, assertion_date date")
+    claims = [("c1", "1,200 and 3,400 and 5,600", "grounded", ["f1", "f1"]), ("c2", "77 and 5,600 and 88", "grounded", ["f1", "f2", "no"]), ("c3", "66", "grounded", None), ("c4", "none", "grounded", ["f1"])]
+    found = D.numeric_violations(spark.createDataFrame(claims, "claim_id string, claim_text string, claim_type string, source_ids array<string>"), facts)
+    assert sorted(map(tuple, found.collect())) == [("c1", "5,600"), ("c1", "5600"), ("c2", "88"), ("c3", "66")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
