@@ -156,3 +156,18 @@ def test_ids_of_documents_with_more_than_9999_facts(spark, tmp_path):
         duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = sorted(map(tuple, entry.queries()["q_fact_ids"](spark, f"file://{tmp_path}").collect()))
     assert len(got) == n and got == sorted(duckdb.sql(entry.oracle_sql()["q_fact_ids"]).fetchall())
+
+
+def test_evidence_is_taken_from_lists_and_pairs_are_not_shuffled(spark):
+    from fathomite.plans import engine
+
+    later, both = DAY(2024, 6, 1), "net income and gross profit"
+    rows = [fact("f1"), fact("f2", 2.0, later), fact("f2", 2.0, later), fact("f3", 5.0, concept=None, claim=both), fact("f4", 6.0, later, None, claim=both, confidence=0.1), fact("f5", None), fact("f6", 7.0, concept=None, claim="nothing")]
+    table = spark.createDataFrame(rows, COLUMNS)
+    pairs = FA.restatements(table)
+    assert sorted(map(tuple, pairs.collect())) == [("f1", "f2"), ("f3", "f4")]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join ") < plan.index("Aggregate "), "no aggregate over the pairs"
+    verified = spark.createDataFrame([("r", f"f{i}") for i in (1, 3, 4, 5, 6, 9)], "run_id string, fact_id string")
+    found = engine.refute(table, verified)
+    assert {r.fact_id: (r.refutation_verdict, r.evidence) for r in found.collect()} == {"f1": ("strongly_refuted", ["f2"]), "f3": ("weakly_refuted", ["f4"]), "f4": ("unrefuted", []), "f5": ("unrefuted", []), "f6": ("unrefuted", [])}
