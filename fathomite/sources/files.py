@@ -120,12 +120,13 @@ def footnotes(text: Column, markers: list[str]) -> Column:
     return F.coalesce(*(F.when(F.contains(text, F.lit(m)), F.substring(text, F.instr(text, F.lit(m)), F.length(text))) for m in markers))
 
 
-def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str = "xml") -> DataFrame:
+def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
     """Numeric facts of tagged instances: one row for each fact with a known context and a number.
 
     Prefixes come from the instance's own declarations and facts join contexts and units by id inside one document, so
     this is a map over documents (``mapInArrow``); XPath functions return one node at a time and would not do. An instance
-    that is not well-formed has no rows (``malformed_xbrl`` lists them); NaN and infinite values are no numbers.
+    that is not well-formed has no rows (``malformed_xbrl`` lists them); NaN and infinite values are no numbers. Columns
+    to ``keep`` come with each fact, so that documents need not be joined, and so made, once more.
     """
     import io
 
@@ -172,13 +173,15 @@ def parse_xbrl(documents: DataFrame, id_col: str = "document_id", xml_col: str =
 
     def run(batches):
         for batch in batches:
-            rows = [(i.as_py(), r) for i, xml in zip(batch.column(0), batch.column(1), strict=True) if xml.is_valid for r in parse(xml.as_py())]
+            made = [(at, i.as_py(), r) for at, (i, xml) in enumerate(zip(batch.column(0), batch.column(1), strict=True)) if xml.is_valid for r in parse(xml.as_py())]
+            rows, places = [m[1:] for m in made], pa.array([m[0] for m in made], pa.int64())
             fields = ("concept", "unit", "decimals", "value", "instant", "period_start", "period_end")
             kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string())
             columns = [pa.array([i for i, _ in rows], pa.string())] + [pa.array([r[f] for _, r in rows], k) for f, k in zip(fields, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([list(r["dimensions"].items()) for _, r in rows], pa.map_(pa.string(), pa.string()))], names=[id_col, *fields, "dimensions"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([list(r["dimensions"].items()) for _, r in rows], pa.map_(pa.string(), pa.string())), *(c.take(places) for c in batch.columns[2:])], names=[id_col, *fields, "dimensions", *keep])
 
-    made = documents.select(F.col(id_col).cast("string").alias(id_col), xml_col).mapInArrow(run, f"{id_col} string, concept string, unit string, decimals int, value double, instant string, period_start string, period_end string, dimensions map<string,string>")
+    others = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
+    made = documents.select(F.col(id_col).cast("string").alias(id_col), xml_col, *keep).mapInArrow(run, f"{id_col} string, concept string, unit string, decimals int, value double, instant string, period_start string, period_end string, dimensions map<string,string>{others}")
     return made.withColumns({c: F.try_to_date(c, "yyyy-MM-dd") for c in ("instant", "period_start", "period_end")})
 
 

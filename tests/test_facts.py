@@ -171,3 +171,9 @@ def test_evidence_is_taken_from_lists_and_pairs_are_not_shuffled(spark):
     verified = spark.createDataFrame([("r", f"f{i}") for i in (1, 3, 4, 5, 6, 9)], "run_id string, fact_id string")
     found = engine.refute(table, verified)
     assert {r.fact_id: (r.refutation_verdict, r.evidence) for r in found.collect()} == {"f1": ("strongly_refuted", ["f2"]), "f3": ("weakly_refuted", ["f4"]), "f4": ("unrefuted", []), "f5": ("unrefuted", []), "f6": ("unrefuted", [])}
+
+
+def test_columns_of_a_document_come_with_its_facts(spark):
+    documents = spark.createDataFrame([("a", XML, DAY(2024, 10, 18)), ("b", None, None), ("c", XML, None)], "document_id string, xml string, filing_date date")
+    got = files.parse_xbrl(documents, keep=("filing_date",)).groupBy("document_id", "filing_date").count().collect()
+    assert {(r[0], r[1]) for r in got} == {("a", DAY(2024, 10, 18)), ("c", None)} and len({r[2] for r in got}) == 1
