@@ -37,7 +37,7 @@ def collapse(text: Column) -> Column:
 
 
 def normalize_claim(text: Column) -> Column:
-    """Composed, in lower case, white space runs to one space. Every text passes through ``nfc``, so through Python."""
+    """Composed, in lower case, white space runs to one space. Texts that may need composing pass through Python (``nfc``)."""
     return collapse(F.lower(nfc(text)))
 
 
@@ -62,14 +62,19 @@ def normalize_text(text: Column) -> Column:
     return strip(s)
 
 
+#: A character that is not known to be left alone by composition, whatever stands beside it.
+MAY_COMPOSE = "[^\\x{0}-\\x{2FF}\\x{2010}-\\x{2027}\\x{2030}-\\x{205E}\\x{20A0}-\\x{20BF}]"
+
+
 def nfc(text: Column) -> Column:
-    """Unicode canonical composition (a vectorised UDF: Spark has no built-in)."""
+    """Unicode canonical composition (a vectorised UDF: Spark has no built-in). Only texts that have a character which may
+    compose or be replaced are sent to Python; all below U+0300, dashes, quotes and currency signs stay as they are."""
 
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
 
-    return composed(text)
+    return F.coalesce(composed(F.when(text.rlike(MAY_COMPOSE), text)), text)
 
 
 def sentences(text: Column) -> Column:

@@ -98,3 +98,15 @@ def test_bars_of_values_that_lie_between_two_steps(spark, tmp_path):
     got = {tuple(r) for r in entry.queries()["q_coverage_bars"](spark, f"file://{tmp_path}").collect()}
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == set(duckdb.sql(entry.oracle_sql()["q_coverage_bars"]).fetchall())
+
+
+def test_only_texts_that_may_need_composing_go_to_python(spark):
+    import unicodedata
+
+    texts = ["plain", "d\u00e9j\u00e0 \u201cvu\u201d \u2013 5 \u20ac", "e\u0301", "\u212b", "\u1100\u1161", "\u2000", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in rows.select("t", T.nfc(F.col("t")), F.col("t").rlike(T.MAY_COMPOSE)).collect()]
+    assert [g[1] for g in got] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert [g[2] for g in got] == [False, False, True, True, True, True, None, False]
+    quiet = [chr(c) for lo, hi in ((0, 0x300), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(lo, hi)]
+    assert unicodedata.normalize("NFC", "".join(quiet)) == "".join(quiet) and not any(unicodedata.combining(c) for c in quiet)
