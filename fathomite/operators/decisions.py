@@ -226,8 +226,13 @@ def ledger(retrieved: DataFrame, supported: DataFrame, run: str = "run_id") -> D
 
 
 def valid_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:
-    """Claims with only known sources; a claim that cited unknown ones alone is refused, one that cited none is kept."""
-    known = claims.select("claim_id", F.explode("source_ids").alias("fact_id")).join(facts.select("fact_id").distinct(), "fact_id").groupBy("claim_id").agg(F.collect_set("fact_id").alias("_known"))
+    """Claims with only known sources; a claim that cited unknown ones alone is refused, one that cited none is kept.
+
+    Citations are held to the facts by a semi-join of two plain exchanges, so that one source that very many claims cite
+    is dealt over several tasks; facts are not made distinct for it.
+    """
+    cited = claims.select("claim_id", F.explode(F.array_distinct("source_ids")).alias("fact_id"))
+    known = cited.join(facts.select("fact_id"), "fact_id", "left_semi").groupBy("claim_id").agg(F.collect_set("fact_id").alias("_known"))
     rows = claims.join(known, "claim_id", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
     kept = rows.filter((F.size("source_ids") == 0) | (F.size("_known") > 0))
     return kept.withColumn("source_ids", F.array_intersect("source_ids", "_known")).drop("_known")

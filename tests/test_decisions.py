@@ -96,3 +96,19 @@ def test_numbers_of_facts_are_not_shuffled_as_rows(spark):
     assert sorted(map(tuple, found.collect())) == [("c1", "5,600"), ("c1", "5600"), ("c2", "88"), ("c3", "66")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
+
+
+def test_valid_claims_deal_a_source_that_all_cite_over_several_tasks(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 40_000, 1, 8).select(F.concat(F.lit("F-"), F.col("id").cast("string")).alias("fact_id"), "id")
+        claims = ids.select(F.col("fact_id").alias("claim_id"), F.array(F.lit("nobody"), F.when(F.col("id") % 100 == 0, F.col("fact_id")).otherwise("none"), F.lit("nobody")).alias("source_ids"))
+        found = D.valid_claims(claims, ids.filter("id % 200 = 0").unionByName(ids.filter("id % 400 = 0")))
+        assert {(r.claim_id, *r.source_ids) for r in found.collect()} == {(f"F-{i}", f"F-{i}") for i in range(0, 40_000, 200)}
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
