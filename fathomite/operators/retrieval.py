@@ -157,6 +157,19 @@ def hashed_embedder(dim: int = 384, id_col: str = "id") -> Embedder:
     return embed
 
 
+#: Rows of a batch's finds up to which they are sent to the corpus.
+MOST_SENT = 200_000
+
+
+def looked_up(found: DataFrame, corpus: DataFrame, by: str = "id") -> DataFrame:
+    """Rows found, a written table, with their columns of ``corpus``.
+
+    What a batch of questions finds is few rows beside a corpus, and is sent to it, so that the corpus with its texts is
+    not shuffled. Beyond ``MOST_SENT`` rows it is a plain join.
+    """
+    return (F.broadcast(found) if found.count() <= MOST_SENT else found).join(corpus, by)
+
+
 def eligible(scored: DataFrame, corpus: DataFrame, slots: DataFrame, layer: str, prefix: str = "nflx") -> DataFrame:
     """Scored rows with their metadata, before top-k: facts by own period or document, chunks by document only."""
     # Slots are a batch of questions; Spark sends them to all tasks only where they are small.
@@ -225,10 +238,11 @@ def build_layer_indexes(corpus: DataFrame, name: str | None = None) -> dict[str,
     return {layer: TI.text_index(_layer(corpus, layer).select("id", "seq", "tags", "text"), name and f"{name}_{layer}") for layer in LAYERS}
 
 
-def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memory: DataFrame | None = None, tier: str = "simple", prefix: str = "nflx", indexes: dict[str, TI.TextIndex] | None = None) -> DataFrame:
+def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memory: DataFrame | None = None, tier: str = "simple", prefix: str = "nflx", indexes: dict[str, TI.TextIndex] | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """One retrieval for every slot: both channels with filter, top-k, second filter and memory, then fusion.
 
     ``corpus`` has (id, seq, layer, text, vector, period, source_document); ``slots`` (slot_id, query, period_filter).
+    ``vectors`` (id, vector) is for a corpus that has none: texts then need no join with them.
     Where ``slots`` has a complexity_tier, each slot's own tier decides how many rows it gets, else ``tier`` does. Both
     channels filter inside, so that no row that a filter rejects is scored into a table.
     """
@@ -242,6 +256,8 @@ def retrieve(corpus: DataFrame, slots: DataFrame, query_vectors: DataFrame, memo
 
     def by_cosine(layer: str, part: DataFrame, wanted: DataFrame) -> DataFrame:
         asked = query_vectors.select("slot_id", "vector").join(wanted.select("slot_id", "tags"), "slot_id")
+        if vectors is not None:
+            part = vectors.select("id", "vector").join(part.select("id", "tags"), "id")
         return top_k(cosine_scores(part, asked, k).join(about.select("id", "seq"), "id"), k).drop("seq")
 
     def by_words(layer: str, part: DataFrame, wanted: DataFrame) -> DataFrame:

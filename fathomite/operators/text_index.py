@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, values as V
 from ..storage import current, materialize, once, publish, released
@@ -70,6 +70,18 @@ def _saturated(tf, dl, avgdl, k1, b):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def _packed() -> Column:
+    """A posting of a range as a BIGINT that sorts by document: its place in the range, dl and tf, which are below 2**28, as no
+    array of more strings fits a row."""
+    return F.shiftleft(F.col("pos") % RANGE, 56) + F.shiftleft(F.col("dl").cast("bigint"), 28) + F.col("tf")
+
+
+def _unpacked() -> Column:
+    low = F.lit((1 << 28) - 1)
+    number = lambda m: m.bitwiseAND(low).cast("int")
+    return F.transform("members", lambda m: F.struct((F.col("range") * RANGE + F.shiftright(m, 56)).alias("pos"), number(m).alias("tf"), number(F.shiftright(m, 28)).alias("dl")))
+
+
 def _write(corpus: DataFrame, place: str, epsilon: float, k1: float, b: float) -> None:
     spark = corpus.sparkSession
     seq = F.col("seq") if "seq" in corpus.columns else F.col("id")
@@ -91,12 +103,14 @@ def _write(corpus: DataFrame, place: str, epsilon: float, k1: float, b: float) -
         figures = "n bigint, avgdl double, k1 double, b double"
         spark.createDataFrame([(n, float(avgdl), k1, b)], figures).coalesce(1).write.parquet(f"{place}/figures")
         # All documents of a range in one task: counts by document and blocks by range need no further shuffle.
-        near = own.select("range", "pos", F.size("terms").alias("dl"), "terms").repartition("range")
-        tf = near.select("range", "pos", "dl", F.explode("terms").alias("term")).groupBy("range", "pos", "dl", "term").agg(F.count("*").alias("tf"))
+        # Terms have no spaces and are shuffled as one string, postings as a BIGINT each: arrays of strings and of structs
+        # take two to five times as much.
+        near = own.select("range", "pos", F.size("terms").alias("dl"), F.array_join("terms", " ").alias("terms")).filter("dl > 0").repartition("range")
+        tf = near.select("range", "pos", "dl", F.explode(F.split("terms", " ")).alias("term")).groupBy("range", "pos", "dl", "term").agg(F.count("*").alias("tf"))
         most = F.max(_saturated(F.col("tf"), F.col("dl"), max(avgdl, 1e-9), k1, b))
-        blocks = tf.groupBy("range", "term").agg(most.alias("bound"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", F.col("tf").cast("int").alias("tf"), "dl"))).alias("members"))
+        blocks = tf.groupBy("range", "term").agg(most.alias("bound"), F.count("*").alias("n"), F.sort_array(F.collect_list(_packed())).alias("members"))
         blocks = blocks.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")).repartition("part", F.floor(F.col("range") / FILE_RANGES))
-        blocks.sortWithinPartitions("part", "term", "range").write.partitionBy("part").parquet(f"{place}/blocks")
+        blocks.sortWithinPartitions("part", "term", "range").withColumn("members", _unpacked()).write.partitionBy("part").parquet(f"{place}/blocks")
         blocks = _blocks(spark, place)
         weighed(blocks.groupBy("term").agg(F.sum("n").alias("df")), n, epsilon).write.parquet(f"{place}/terms")
 

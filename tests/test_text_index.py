@@ -128,3 +128,15 @@ def test_one_pass_for_many_queries_gives_what_joins_give(spark, indexed, monkeyp
     once = sorted(map(tuple, TI.search_blocks(index, queries, 3).rows.collect()))
     monkeypatch.setattr(TI, "MOST_AT_ONCE", 0)
     assert once == sorted(map(tuple, TI.search_blocks(index, queries, 3).rows.collect())) and len({r[0] for r in once}) == 225
+
+
+def test_postings_of_ranges_keep_place_count_and_length(spark, tmp_path):
+    texts = {i: " ".join(["every"] * (300 if i == 65 else 1) + [f"t{i}"] * (i % 3)) for i in range(130)} | {130: "", 131: None, 132: "?!"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").coalesce(1)
+    index = TI.build_text_index(docs, f"file://{tmp_path}/places")
+    for r in index.blocks.collect():
+        assert [m.pos for m in r.members] == sorted(m.pos for m in r.members) and all(m.pos // TI.RANGE == r.range for m in r.members) and r.n == len(r.members)
+    want = {(i, t): (t_all.count(t), len(t_all)) for i, text in texts.items() if (t_all := re.findall(r"[a-z0-9]+", text or "")) for t in t_all}
+    assert {(r.id, r.term): (r.tf, r.dl) for r in index.postings.collect()} == want
+    packed = spark.createDataFrame([(63, 2**28 - 1, 2**28 - 1, 0), (0, 1, 7, 0)], "pos long, dl int, tf int, range long").groupBy("range").agg(F.sort_array(F.collect_list(TI._packed())).alias("members"))
+    assert [tuple(m) for m in packed.select(TI._unpacked().alias("m")).first().m] == [(0, 7, 1), (63, 2**28 - 1, 2**28 - 1)]
