@@ -56,6 +56,8 @@ def bm25_scores(corpus: DataFrame | TI.TextIndex, queries: DataFrame) -> DataFra
 
 #: Query vectors at most that are held beside a batch of rows at a time.
 QUERY_BLOCK = 4096
+#: Scores that a worker holds as one matrix.
+SCORES = 500_000
 
 
 def unit_vectors(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -87,7 +89,7 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, most: int | None = Non
     dims = {len(q) for q in asked["q"]}
     if len(dims) > 1:
         raise ValueError(f"query vectors differ in length: {sorted(dims)[:5]}")
-    dim = dims.pop()
+    dim, scores = dims.pop(), SCORES
 
     def units(rows: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -101,20 +103,23 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, most: int | None = Non
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots, q, allowed = shared.value
+            # The best that a slot's ``most``-th score has been in one matrix so far: what lies below is passed over.
+            least = np.full((len(slots), 1), -np.inf)
             for batch in batches:
-                step = max(1, 2_000_000 // len(slots))
+                step = max(1, scores // len(slots))
                 for at in range(0, batch.num_rows, step):
                     own = batch.slice(at, step)
                     flat = own.column(1).flatten().to_numpy(zero_copy_only=False)
                     if len(flat) != own.num_rows * dim or (pc.list_value_length(own.column(1)).to_numpy(zero_copy_only=False) != dim).any():
                         raise ValueError(f"a vector has another length than the queries' {dim}")
-                    score = np.round(q @ units(flat.reshape(-1, dim)).T, 6) + 0.0
+                    score = q @ units(flat.reshape(-1, dim)).T
+                    np.round(score, 6, out=score)
+                    score += 0.0
                     if allowed is not None:
                         score[~fits(own.column(2), allowed)] = -np.inf
                     if most is not None and score.shape[1] > most:
-                        i, j = np.nonzero(score >= np.partition(score, -most, axis=1)[:, -most][:, None])
-                    else:
-                        i, j = (x.ravel() for x in np.indices(score.shape))
+                        np.maximum(least[:, 0], np.partition(score, -most, axis=1)[:, -most], out=least[:, 0])
+                    i, j = np.nonzero(score >= least)
                     if allowed is not None:
                         known = np.isfinite(score[i, j])
                         i, j = i[known], j[known]

@@ -34,6 +34,8 @@ CELL_ROWS, SIDE_BY_SIDE = 500_000, 256
 LAYOUT = 2
 #: Query vectors that are held beside the codes at a time.
 QUERY_BLOCK = 4096
+#: Scores that a worker holds as one matrix, whatever the number of cells, rows and queries.
+SCORES = 500_000
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
@@ -42,7 +44,12 @@ def _units(rows: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+    half, out, step = 0.5 * (centres * centres).sum(1), np.empty(len(x), np.int64), max(1, SCORES // len(centres))
+    for lo in range(0, len(x), step):
+        score = x[lo : lo + step] @ centres.T
+        score -= half
+        score.argmax(1, out=out[lo : lo + step])
+    return out
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool = False) -> np.ndarray:
@@ -279,30 +286,39 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _askers(probing: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells that queries probe, in order, where the queries of each start, and the numbers of these queries, two bytes
+    each: every worker holds them, and there are as many as queries times probes."""
+    cells = np.concatenate([np.asarray(c, np.int32) for c in probing]) if probing else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(probing), dtype=np.min_scalar_type(len(probing))), [len(c) for c in probing])
+    order = np.argsort(cells, kind="stable")
+    found, starts = np.unique(cells[order], return_index=True)
+    return found, np.append(starts, len(cells)), owner[order]
+
+
 def _candidates(index: VectorIndex, block: pa.Table, probing: list[np.ndarray], schema: str, most: int) -> DataFrame:
     """The best ``most`` rows of each batch of codes for each query of a block, by approximate score."""
     q, tags, names = _matrix(block["vector"]), block["tags"].to_pylist(), block["slot_id"].combine_chunks()
-    by_cell: dict[int, list[int]] = {}
-    for i, cells in enumerate(probing):
-        for c in cells.tolist():
-            by_cell.setdefault(c, []).append(i)
+    askers = _askers(probing)
     allowed = [None if t is None else set(t) for t in tags]
     filtered = any(a is not None for a in allowed)
-    shared = index.rows.sparkSession.sparkContext.broadcast((index.quantiser, q, names, by_cell, allowed))
+    shared = index.rows.sparkSession.sparkContext.broadcast((index.quantiser, q, names, askers, allowed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quantiser, q, names, by_cell, allowed = shared.value
+        quantiser, q, names, (known, starts, owner), allowed = shared.value
         for batch in batches:
             cells = batch.column(0).to_numpy(zero_copy_only=False)
             bounds = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
             for a, b in zip(bounds, bounds[1:]):
-                asking = by_cell.get(int(cells[a]), []) if b > a else []
-                if not asking:
+                at = int(np.searchsorted(known, cells[a])) if b > a else len(known)
+                if at == len(known) or known[at] != cells[a]:
                     continue
+                asking = owner[starts[at] : starts[at + 1]].astype(np.int64)
                 ids = batch.column(1).slice(a, b - a)
                 codes = np.frombuffer(b"".join(batch.column(2).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-                for at in range(0, len(asking), SIDE_BY_SIDE):
-                    some = asking[at : at + SIDE_BY_SIDE]
+                side = max(1, min(SIDE_BY_SIDE, SCORES // (b - a)))
+                for at in range(0, len(asking), side):
+                    some = asking[at : at + side]
                     score = quantiser.scores(q[some], int(cells[a]), codes)
                     if filtered:
                         score[~fits(batch.column(3).slice(a, b - a), [allowed[i] for i in some])] = -np.inf
@@ -312,8 +328,8 @@ def _candidates(index: VectorIndex, block: pa.Table, probing: list[np.ndarray],
                         i, j = (x.ravel() for x in np.indices(score.shape))
                     keep = np.isfinite(score[i, j])
                     i, j = i[keep], j[keep]
-                    own = np.array(some)[i]
+                    own = some[i]
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(np.full(len(i), cells[a], np.int32)), ids.take(pa.array(j)), pa.array(score[i, j].astype(np.float32))], names=["slot_id", "cell", "id", "approx"])
 
-    codes = index.rows.filter(F.col("cell").isin(sorted(by_cell))).select("cell", "id", "code", "tags")
+    codes = index.rows.filter(F.col("cell").isin(askers[0].tolist())).select("cell", "id", "code", "tags")
     return codes.mapInArrow(run, schema)

@@ -1,4 +1,6 @@
+import pickle
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -132,3 +134,27 @@ def test_tags(spark):
     assert (own[0].f, own[0].c) == (["d:nflx-10k-2022", "p:2022Q3"], ["d:nflx-10k-2022"])
     assert (set(own[0].sf), own[0].sc) == ({"d:nflx-10k-2022", "p:FY2022", "p:2022-12-31"}, ["d:nflx-10k-2022"])
     assert (own[1].f, own[1].sf, own[1].sc) == ([], None, None)
+
+
+def test_what_a_worker_holds_does_not_grow_with_cells_and_probes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(10_000, 8)).astype(np.float32), rng.normal(size=(1600, 8)).astype(np.float32)
+    tracemalloc.start()
+    near = VI._nearest(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6, "a matrix of all rows and cells would be 64 MB"
+    assert np.array_equal(near[:50], ((x[:50, None] - centres) ** 2).sum(2).argmin(1))
+    probing = [rng.permutation(1600)[:900] for _ in range(4096)] + [np.array([], np.int64)]
+    cells, starts, owner = VI._askers(probing)
+    assert len(pickle.dumps((cells, starts, owner))) < 8e6 and starts[-1] == len(owner) == 4096 * 900
+    at = int(np.searchsorted(cells, 7))
+    assert owner[starts[at] : starts[at + 1]].tolist() == [i for i, own in enumerate(probing) if 7 in own]
+    # Matrices of few rows: each passes on only what may still be among the best.
+    monkeypatch.setattr(R, "SCORES", 2 * 40)
+    v = np.round(rng.normal(size=(400, 3)), 1)
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, vector array<double>").coalesce(1)
+    q = docs.filter("id < 2").select(F.col("id").alias("slot_id"), "vector")
+    every, most = R.cosine_scores(docs, q), R.cosine_scores(docs, q, 3)
+    best = lambda d: [tuple(r) for r in R.top_k(d.withColumn("seq", F.col("id")), 3).orderBy("slot_id", "rank").collect()]
+    assert best(most) == best(every) and most.count() < 40, "three of every forty rows would be 60"
