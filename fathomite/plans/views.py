@@ -34,9 +34,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def written_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """These columns of ``facts`` as a table, for plans that read them more than once: the view's joins then run once."""
-    return materialize(facts(spark, sf_dir).select(*columns), "facts")
+def written_facts(spark: SparkSession, sf_dir: str, *columns: str, where: str = "true") -> DataFrame:
+    """These columns of ``facts`` as a table, for plans that read them more than once: the view's joins then run once, and
+    only for the facts of ``where``."""
+    return materialize(facts(spark, sf_dir).filter(where).select(*columns), "facts")
 
 
 FACTS_SQL = """facts AS (

@@ -177,3 +177,27 @@ def test_columns_of_a_document_come_with_its_facts(spark):
     documents = spark.createDataFrame([("a", XML, DAY(2024, 10, 18)), ("b", None, None), ("c", XML, None)], "document_id string, xml string, filing_date date")
     got = files.parse_xbrl(documents, keep=("filing_date",)).groupBy("document_id", "filing_date").count().collect()
     assert {(r[0], r[1]) for r in got} == {("a", DAY(2024, 10, 18)), ("c", None)} and len({r[2] for r in got}) == 1
+
+
+def test_pairs_are_dealt_out_in_blocks(spark, monkeypatch):
+    """A concept's facts in blocks that all of its targets meet give the pairs of one block; targets may be a condition."""
+    monkeypatch.setattr(FA, "BLOCK", 3)
+    both = "net income and gross profit"
+    rows = [fact(f"f{i}", float(i % 4), DAY(2024, 1 + i % 9, 1), confidence=0.9 + i % 2 / 10) for i in range(40)]
+    rows += [fact("f50", 1.0, concept=None, claim=both, confidence=1.0), fact("f51", 2.0, DAY(2024, 2, 1), None, claim=both), fact("f52", 2.0, DAY(2024, 2, 1), period="FY2022"), rows[3]]
+    table = spark.createDataFrame(rows, COLUMNS)
+    sure = F.col("confidence") >= 0.98
+    got = sorted(map(tuple, FA.restatements(table, sure, tasks=5).collect()))
+    assert got == sorted(map(tuple, FA.restatements(table, table.filter(sure)).collect())) and len(set(got)) == len(got) > 100
+    assert got == sorted(map(tuple, FA.restatements(table, sure).collect())) and FA.restatements(table.limit(0), sure, tasks=1).count() == 0
+
+
+def test_pairs_of_quarters_join_and_write_only_facts_of_quarters(spark):
+    import __spark_entry__ as entry
+
+    sf_dir = "/root/testdata/sf0.001"
+    pairs = entry.queries()["q_restatement_pairs"](spark, sf_dir)
+    read = pairs.inputFiles()
+    assert read and all("/fathomite_facts_" in f for f in read), "the view's joins run once"
+    written = spark.read.parquet(read[0].rsplit("/", 1)[0])
+    assert written.count() == written.filter("period LIKE '____Q_'").count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber % 4 = 0").count()
