@@ -201,3 +201,13 @@ def test_pairs_of_quarters_join_and_write_only_facts_of_quarters(spark):
     assert read and all("/fathomite_facts_" in f for f in read), "the view's joins run once"
     written = spark.read.parquet(read[0].rsplit("/", 1)[0])
     assert written.count() == written.filter("period LIKE '____Q_'").count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber % 4 = 0").count()
+
+
+def test_refutation_of_yearly_figures_joins_and_writes_only_yearly_facts(spark):
+    import __spark_entry__ as entry
+
+    sf_dir = "/root/testdata/sf0.001"
+    read = entry.queries()["q_refute"](spark, sf_dir).inputFiles()
+    assert read and all("/fathomite_facts_" in f for f in read)
+    written = spark.read.parquet(read[0].rsplit("/", 1)[0])
+    assert written.count() == written.filter("period LIKE 'FY%'").count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber % 4 = 1").count()
